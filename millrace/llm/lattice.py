@@ -25,7 +25,7 @@ from ._text import _BASE, _BYTE, U, mix
 from .minhash import small_batches
 
 COMMON = 100_000
-ROUNDS = 2
+ROUNDS = 3
 MARK = 0xFF  # stands for the word-start mark; no byte of UTF-8
 LOG10 = np.log(10)
 

@@ -4,9 +4,8 @@ The k smallest shingle hashes of a document are its sketch.  Inverted lists of t
 values propose pairs, an estimate from the bottom k of the union drops most false ones, and
 the Jaccard similarity of the full shingle sets decides.
 
-Which values are listed: two documents at the threshold share far more than ``share`` of the
-smaller sketch (at 0.85 and k = 64, fewer than 0.53 of 64 has a probability under 1e-7), so
-with all values put in one global order, rarest first, two such sketches have a common value
+Which values are listed: two documents at the threshold share at least ``share`` of the
+smaller sketch (at 0.85 and k = 64, 0.53; fewer has a probability under 1e-8), so with all values put in one global order, rarest first, two such sketches have a common value
 among their first ``s - ceil(share * s) + 1``.  Only these prefixes are listed, so values of
 common passages make no long lists, and values found in one document make none at all.
 """
@@ -29,7 +28,17 @@ from ._store import Scratch
 from ._text import shingle_rows
 
 K = 64
-SHARE = 0.53
+MISS = 1e-8
+
+
+def safe_share(threshold: float, k: int, miss: float = MISS) -> float:
+    """The share of k retained values that two sets at the threshold have in common but for a probability of miss (a binomial tail)."""
+    tail = 0.0
+    for m in range(k + 1):
+        tail += math.comb(k, m) * threshold**m * (1 - threshold) ** (k - m)
+        if tail > miss:
+            return m / k
+    return 1.0
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -57,7 +66,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, k: int =
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, n_shingles long, print binary, sketch array<long>")
 
 
-def verifier(texts: DataFrame, shingle: int, percent: int, k: int = K, share: float = SHARE):
+def verifier(texts: DataFrame, shingle: int, percent: int, k: int, share: float):
     """pairs (a, b) -> those with 100 * intersection >= percent * union.  texts: node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +97,7 @@ def verifier(texts: DataFrame, shingle: int, percent: int, k: int = K, share: fl
     return verify
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = K, share: float = SHARE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents with 100 * |A & B| >= percent * |A | B| over distinct shingle sets are linked;
@@ -101,6 +110,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     small_batches(spark)
     scratch = Scratch(spark, "minhash")
+    share = safe_share(percent / 100, k)
     rows = scratch.save(sketches(docs, id_col, text_col, shingle, k), "sketches")
     live = rows.where("id IS NOT NULL AND n_shingles > 0")
     classes = live.groupBy("print").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n"))
@@ -116,13 +126,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prefix = listed.where(f"texts > 1 OR place <= s - ceil({share}D * s) + 1 - (s - many)")
     postings = scratch.save(prefix.select("key", "node", F.when(F.col("texts") == 1, F.col("n")).alias("n")), "postings")
 
+    scratch.drop()
     owners = live.join(classes, "print").select("id", "node")
     several = owners.groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     given = owners.join(several, "id").where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(postings.select("node").distinct(), "node", "left_semi")
     texts = scratch.save(texts, "texts")
+    scratch.drop()
     found = link(postings, verifier(texts, shingle, percent, k, share), percent / 100, scratch, given)
 
+    scratch.drop(postings, texts)
     out = rows.select("id", "n_shingles", "print").join(classes.select("print", "node"), "print", "left").join(found, "node", "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "node", "id"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), (F.coalesce(F.col("id") == component, F.lit(True))).alias("kept"))
@@ -150,3 +163,13 @@ WITH RECURSIVE w AS (
 ), k AS (SELECT doc_id, min(m) AS m FROM r GROUP BY 1)
 SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, k.m AS component_id, s.doc_id = k.m AS kept FROM s JOIN k USING (doc_id)
 """
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """docs with all columns, one row for each group of near duplicates (that of the smallest id); rows with a null id stay."""
+    found = Scratch(docs.sparkSession, "near-duplicates").save(near_duplicates(docs, id_col, text_col, **options), "groups")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    return left.where(F.col(id_col).isNull()).unionByName(left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))

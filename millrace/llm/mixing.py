@@ -87,29 +87,25 @@ def flow(sizes: list[int], members: list[list[int]], wanted: list[int], prices:
     return got
 
 
-def mix(docs: DataFrame, weights: list[float], share: float, most: int, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken.
-
-    size is the number of words (null text: 0).  source_col is a string, or an array of the
-    sources a document belongs to.  Sources in code-point order, null last, have the weights in
-    turn, repeating.  All targets add up to share times all sizes where the limits (most times
-    a source's size) allow it.  Taken is size times a whole number from 0 to most; each
-    pattern's flow is met to within half of one document, the one in which it ends.
-    source_size and target are those of the document's (first) source.  Ties in the seeded
-    order are broken by id and size; rows equal in these are interchangeable.  No rows, no result.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
+def measured(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs and _size (words), _rank (seeded), _key (of the membership pattern), _pattern."""
     many = dict(docs.dtypes)[source_col].startswith("array")
     pattern = F.array_sort(F.array_distinct(F.coalesce(source_col, F.array(F.lit(None).cast("string"))))) if many else F.array(source_col)
-    words = F.expr(rf"CAST(size(split(coalesce(`{text_col}`, ''), r'[\x20\x09-\x0D]+')) AS bigint)")
-    ends = F.expr(rf"CAST(coalesce(`{text_col}`, '') rlike r'^[\x20\x09-\x0D]' AS int) + CAST(coalesce(`{text_col}`, '') rlike r'[\x20\x09-\x0D]\z' AS int)")
-    size = F.when(F.coalesce(docs[text_col], F.lit("")).rlike(r"[^\x20\x09-\x0D]"), words - ends).otherwise(F.lit(0))
-    rows = docs.select(docs[id_col].alias("doc_id"), size.cast("long").alias("size"), pattern.alias("pattern"))
-    rank = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    rows = scratch.save(rows.withColumn("rank", rank), "sizes")
-
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
+    text = F.coalesce(docs[text_col], F.lit(""))
+    gaps = F.size(F.split(text, r"[\x20\x09-\x0D]+")) - text.rlike(r"^[\x20\x09-\x0D]").cast("int") - text.rlike(r"[\x20\x09-\x0D]\z").cast("int")
+    size = F.when(text.rlike(r"[^\x20\x09-\x0D]"), gaps).otherwise(0).cast("long")
+    rank = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    key = F.concat_ws("\x00", F.transform(pattern, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("n"))))
+    return docs.withColumns({"_size": size, "_rank": rank, "_key": key, "_pattern": pattern})
+
+
+def plan(rows: DataFrame, weights: list[float], share: float, most: int) -> DataFrame:
+    """_key, _own (source size), _target, _times (whole uses of each document), _last: the place (rank, id, size) up to which a document is used once more.
+
+    rows: doc_id and what measured() adds, without texts.
+    """
+    spark = rows.sparkSession
+    found = rows.groupBy("_key").agg(F.first("_pattern").alias("pattern"), F.sum("_size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns; merge small sources first")
     found.sort(key=lambda r: [(s is None, s or "") for s in r["pattern"]])
@@ -119,21 +115,59 @@ def mix(docs: DataFrame, weights: list[float], share: float, most: int, seed: in
     weight = [weights[j % len(weights)] for j in range(len(names))]
     target = quotas(weight, [float(most * x) for x in own], share * sum(r["size"] for r in found))
     got = flow([r["size"] for r in found], [[place[s] for s in r["pattern"]] for r in found], [round(x) for x in target], list(range(most)))
+    first = [place[r["pattern"][0]] for r in found]
+    table = [(r["_key"], own[j], float(target[j]), *divmod(sum(got[i]), max(1, r["size"]))) for i, (r, j) in enumerate(zip(found, first, strict=True))]
+    table = spark.createDataFrame(table, "_key string, _own long, _target double, _times long, rest long")
+    # words before each document in its pattern's seeded order: sums of rank buckets first, then single documents in the one bucket where the rest ends
+    bucket = F.expr(f"CAST(shiftright(_rank, {60 - BUCKETS.bit_length() + 1}) AS int)")
+    rows = rows.select("_key", "doc_id", "_size", "_rank", bucket.alias("bucket"))
+    sums = rows.groupBy("_key", "bucket").agg(F.sum("_size").alias("n"))
+    sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("_key").orderBy("bucket")) - F.col("n"))
+    edge = sums.join(F.broadcast(table), "_key").where("before <= rest AND rest < before + n").select("_key", F.col("bucket").alias("edge"), "before", "rest")
+    inner = Window.partitionBy("_key").orderBy("_rank", "doc_id", "_size")
+    near = rows.join(F.broadcast(edge), "_key").where("bucket = edge")
+    near = near.withColumn("prior", F.sum("_size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size") + F.col("before"))
+    near = near.where("2 * (rest - prior) >= _size AND rest > prior").groupBy("_key").agg(F.max(F.struct("_rank", "doc_id", "_size")).alias("t"))
+    start = F.struct(F.expr(f"shiftleft(CAST(edge AS bigint), {60 - BUCKETS.bit_length() + 1}) - 1L").alias("_rank"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("_size"))
+    last = edge.join(near, "_key", "left").select("_key", F.coalesce("t", start).alias("_last"))
+    last = last.collect()  # one row a pattern
+    last = spark.createDataFrame([(r["_key"], r["_last"]) for r in last], "_key string, _last struct<_rank:long,doc_id:long,_size:long>")
+    return table.drop("rest").join(last, "_key", "left")
+
+
+def used(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows (as measured, id in doc_id) with source_size, target and times (uses of each document)."""
+    more = F.expr("coalesce(struct(_rank, CAST(doc_id AS bigint) AS doc_id, _size) <= _last, false)").cast("long")
+    more = F.when(F.col("_size") > 0, F.col("_times") + more).otherwise(0)
+    return rows.join(F.broadcast(table), "_key").select(*rows.columns, F.col("_own").alias("_source_size"), F.col("_target"), more.alias("_uses"))
+
+
+def mix(docs: DataFrame, weights: list[float], share: float, most: int, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken.
 
-    plan = [(i, r["pattern"], own[place[r["pattern"][0]]], target[place[r["pattern"][0]]], sum(got[i]) // r["size"] if r["size"] else 0, sum(got[i]) % r["size"] if r["size"] else 0) for i, r in enumerate(found)]
-    plan = spark.createDataFrame(plan, "p int, pattern array<string>, source_size long, target double, times long, rest long")
-    # tokens before each document in its pattern's seeded order: sums of rank buckets, then within the one bucket where the rest ends
-    key = F.concat_ws("\x00", F.transform("pattern", lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("n"))))
-    rows = rows.withColumn("key", key).withColumn("bucket", F.expr(f"CAST(shiftright(`rank`, {60 - BUCKETS.bit_length() + 1}) AS int)"))
-    plan = F.broadcast(plan.withColumn("key", key).drop("pattern"))
-    sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("bucket")) - F.col("n"))
-    edge = sums.join(plan.select("key", "rest"), "key").where("before <= rest AND rest < before + n").select("key", F.col("bucket").alias("edge"), "before")
-    rows = rows.join(plan, "key").join(F.broadcast(scratch.save(edge, "edges")), "key", "left")
-    inner = Window.partitionBy("key").orderBy("rank", "doc_id", "size")
-    sure = rows.where("edge IS NULL OR bucket <> edge").withColumn("extra", F.expr("CASE WHEN bucket < edge THEN 1 ELSE 0 END"))
-    last = rows.where("bucket = edge").withColumn("at", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") + F.col("before"))
-    last = last.withColumn("extra", F.expr("CASE WHEN 2 * (rest - at) >= size AND rest > at THEN 1 ELSE 0 END")).drop("at")
-    return sure.unionByName(last).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + F.col("extra"))).cast("long").alias("taken"))
+    size is the number of words (null text: 0).  source_col is a string, or an array of the
+    sources a document belongs to.  Sources in code-point order, null last, have the weights in
+    turn, repeating.  All targets add up to share times all sizes where the limits (most times
+    a source's size) allow it.  Taken is size times a whole number from 0 to most; each
+    pattern's flow is met to within half of one document, the one in which it ends.
+    source_size and target are those of the document's (first) source.  The seeded order is
+    that of a hash of the id, then id and size; rows equal in these are taken alike.  No rows,
+    no result.
+    """
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[source_col].alias("source"))
+    rows = measured(rows, seed, "doc_id", "text", "source").drop("text", "source")
+    rows = Scratch(docs.sparkSession, "mix").save(rows, "sizes")
+    out = used(rows, plan(rows, weights, share, most))
+    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_uses")).alias("taken"))
+
+
+def repeat(docs: DataFrame, weights: list[float], share: float, most: int, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: docs with all columns, each row as often as it is used.  Texts aren't shuffled; those without words go."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[source_col].alias("source"))
+    rows = measured(packed, seed, "doc_id", "text", "source").drop("text", "source")
+    sizes = Scratch(docs.sparkSession, "mix").save(rows.drop("_row"), "sizes")
+    out = used(rows, plan(sizes, weights, share, most)).where("_uses > 0")
+    return out.select("_row", F.explode(F.expr("sequence(1L, _uses)")).alias("_use")).select("_row.*")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,9 @@ def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
     counts = features(docs.select(F.col(text_col).alias("text"))).select(*PARTS)
     model = fit(counts)
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text_col].alias("text"))
-    return verdict(features(packed), model).where("kept").select("_row.*")
+    # a filter that Spark pushed below these projections would repeat their expressions in place of each name
+    held = verdict(features(packed), model).withColumn("_row_number", F.monotonically_increasing_id())
+    return held.where("kept AND _row_number >= 0").select("_row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
