@@ -12,7 +12,7 @@ from itertools import chain
 
 import numpy as np
 
-CACHE = 300_000
+CACHE = 100_000
 _encoders: dict[str, Encoder] = {}
 
 

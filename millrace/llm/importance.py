@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ._store import Scratch
-from ._text import _STEP, mix, slices, span_hash, words
+from ._text import _STEP, lean, mix, slices, span_hash, words
 from .minhash import small_batches
 
 BUCKETS = 10_000
@@ -48,7 +48,7 @@ def fit(docs: DataFrame, targets: list[int], buckets: int = BUCKETS) -> np.ndarr
                 target += np.bincount(at[good[row]], minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(raw), pa.array(target)], ["bucket", "raw", "target"])
 
-    got = docs.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    got = docs.mapInArrow(lean(run), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     counts = np.ones((2, buckets))
     for r in got:
         counts[:, r["bucket"]] += (r["target"], r["raw"])
@@ -108,7 +108,7 @@ def resample(docs: DataFrame, targets: list[int], share: float, seed: int = 0, i
                 total += np.bincount(row, ratio[at], len(n))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total)], ["doc_id", "n_features", "log_weight"])
 
-    rows = docs.mapInArrow(weigh, "doc_id long, n_features long, log_weight double")
+    rows = docs.mapInArrow(lean(weigh), "doc_id long, n_features long, log_weight double")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double")
     uniform = (draw + 0.5) / F.lit(float(1 << 52))
     rows = scratch.save(rows.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), "weights")

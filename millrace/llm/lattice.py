@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ._store import Scratch
-from ._text import _BASE, _BYTE, U, mix
+from ._text import _BASE, _BYTE, U, lean, mix
 from .minhash import small_batches
 
 COMMON = 100_000
@@ -156,11 +156,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 else:
                     train.update(_words(text))
                     ends += 1
-            if len(train) + len(rest) > 300_000:
+            if len(train) + len(rest) > 200_000:
                 yield out()
         yield out()
 
-    return docs.mapInArrow(run, "word binary, c long, t long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    return docs.mapInArrow(lean(run), "word binary, c long, t long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Table]:
@@ -192,7 +192,7 @@ def fit(words: DataFrame, names: list[bytes], ends: int, rounds: int = ROUNDS) -
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["piece", "uses"])
 
-        got = words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        got = words.where("c > 0").select("word", "c").mapInArrow(lean(run), "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
         uses = np.zeros(len(names))
         for r in got:
             uses[r["piece"]] = r["uses"]
@@ -234,7 +234,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 ["word", "known", "base", "model", "t"],
             )
 
-    weighed = scratch.save(words.select("word", "c", "t").mapInArrow(weigh, "word binary, known boolean, base double, model double, t long"), "weights")
+    weighed = scratch.save(words.select("word", "c", "t").mapInArrow(lean(weigh), "word binary, known boolean, base double, model double, t long"), "weights")
     scratch.drop(counted)
     # the most frequent words: the largest whole classes of frequency that hold no more than ``common``
     level = F.floor(32 * F.log2("t")).alias("level")
@@ -266,7 +266,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             kinds_ = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_, strict=True)], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "rare"])
 
-    rows = scratch.save(docs.mapInArrow(local, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<word:binary,n:long>>"), "rows")
+    rows = scratch.save(docs.mapInArrow(lean(local), "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<word:binary,n:long>>"), "rows")
     spread = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n")
     part = spread.join(weighed.select("word", "known", "base", "model"), "word")
     sums = part.groupBy("row").agg(F.sum(F.expr("CASE WHEN known THEN n ELSE 0 END")).alias("k"), F.sum(F.expr("n * base")).alias("b"), F.sum(F.expr("n * model")).alias("m"))

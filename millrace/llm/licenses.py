@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ._text import lean
 from .minhash import small_batches
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -161,7 +162,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_words long, places array<struct<label:string,start:long>>, matches array<struct<label:string,start:long,end:long>>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"doc_id {kind}, n_words long, places array<struct<label:string,start:long>>, matches array<struct<label:string,start:long,end:long>>")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from ..session import ship
 from ._cluster import link
 from ._store import Scratch
 
-from ._text import shingle_rows
+from ._text import lean, shingle_rows
 
 K = 64
 MISS = 1e-8
@@ -41,7 +41,7 @@ def safe_share(threshold: float, k: int, miss: float = MISS) -> float:
     return 1.0
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts go to Python at most this many rows at a time, so a worker's memory stays bounded."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -63,7 +63,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, k: int =
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), lists], ["id", "n_shingles", "print", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, n_shingles long, print binary, sketch array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run), "id long, n_shingles long, print binary, sketch array<long>")
 
 
 def verifier(texts: DataFrame, shingle: int, percent: int, k: int, share: float):
@@ -92,7 +92,7 @@ def verifier(texts: DataFrame, shingle: int, percent: int, k: int, share: float)
     def verify(pairs: DataFrame) -> DataFrame:
         one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+        return two.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
     return verify
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ._text import lean
 from ._tokens import encoder, vocabulary
 from .minhash import small_batches
 
@@ -153,7 +154,7 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, cut:
         if rows:
             yield out()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, OUT)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run), OUT)
 
 
 def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

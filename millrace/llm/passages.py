@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from ._cluster import link
 from ._store import Scratch
-from ._text import _STEP, U, mix, shingle_rows, slices, span_hash, words
+from ._text import _STEP, U, lean, mix, shingle_rows, slices, span_hash, words
 from .minhash import small_batches
 
 LEAST = 16
@@ -97,7 +97,7 @@ def _verifier(texts: DataFrame, shingle: int, percent: int):
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        return one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+        return one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
     return verify
 
@@ -133,7 +133,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(prints, pa.binary()), lists], ["doc_id", "paragraph", "start", "end", "n_words", "print", "bands"])
 
-    found = scratch.save(docs.mapInArrow(cut, "doc_id long, paragraph long, start long, end long, n_words long, print binary, bands array<long>"), "paragraphs")
+    found = scratch.save(docs.mapInArrow(lean(cut), "doc_id long, paragraph long, start long, end long, n_words long, print binary, bands array<long>"), "paragraphs")
     # equal word sequences are one class; its first paragraph stands for it
     classes = found.groupBy("print").agg(F.min(F.struct("doc_id", "paragraph", "n_words", "start", "end", "bands")).alias("f"), F.count("*").alias("copies"))
     classes = scratch.save(classes.select("print", "copies", "f.*").withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -154,7 +154,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["node", "text"])
 
     spans = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("node", "start", "end")).alias("spans"))
-    texts = scratch.save(docs.join(spans, "doc_id").select("text", "spans").mapInArrow(pick, "node long, text string"), "texts")
+    texts = scratch.save(docs.join(spans, "doc_id").select("text", "spans").mapInArrow(lean(pick), "node long, text string"), "texts")
     scratch.drop()
     linked = link(postings, _verifier(texts, SHINGLE, percent), percent / 100, scratch)
 

@@ -23,14 +23,13 @@ RULES = {
     "length": ("n_words < 20", "n_words >= 50"),
     "symbols": ("10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
     "duplicate_lines": ("n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 AND n_lines >= 3"),
-    "repeats": ("100 * n_repeat_words > 25 * n_words", "100 * n_repeat_words <= 5 * n_words"),
+    "repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 5 * n_words"),
     "runs": ("5 * n_runs > n_words", "100 * n_runs <= 3 * n_words"),
     "word_length": ("word_chars < 2 * n_words OR word_chars > 12 * n_words", "word_chars BETWEEN 3 * n_words AND 9 * n_words"),
     "capitals": ("2 * n_upper > word_chars", "5 * n_upper <= word_chars"),
-    "letters": ("10 * n_letters < 7 * word_chars", "100 * n_letters >= 85 * word_chars"),
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-PARTS = [*BASE, "n_lines", "n_runs", "n_upper", "n_letters"]
+PARTS = [*BASE, "n_lines", "n_runs", "n_upper"]
 
 
 def _repeat_words(h: str) -> str:
@@ -52,7 +51,9 @@ def features(texts: DataFrame) -> DataFrame:
 
     8-word windows are compared by 64-bit hashes within one text.
     """
-    space = r" \u0009\u000a\u000b\u000c\u000d"
+    without = "text"
+    for symbol in "#*$%&|<>":
+        without = f"replace({without}, '{symbol}', '')"
     df = texts.withColumn("text", F.coalesce("text", F.lit("")))
     df = df.withColumn("_words", F.expr(r"regexp_extract_all(text, r'[^\x20\x09-\x0D]+', 0)"))
     df = df.withColumn("_lines", F.expr(r"filter(split(text, '\n'), x -> x rlike r'[^\x20\x09-\x0D]')"))
@@ -60,14 +61,13 @@ def features(texts: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "n_words": F.expr("CAST(size(_words) AS bigint)"),
-            "word_chars": F.expr(f"CAST(length(translate(text, '{space}', '')) AS bigint)"),
-            "n_symbols": F.expr("CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS bigint)"),
+            "word_chars": F.expr("CAST(length(array_join(_words, '')) AS bigint)"),
+            "n_symbols": F.expr(f"CAST(length(text) - length({without}) AS bigint)"),
             "n_dup_lines": F.expr("CAST(size(_lines) - size(array_distinct(_lines)) AS bigint)"),
             "n_repeat_words": F.expr(f"CASE WHEN size(array_distinct(_h)) < size(_h) THEN {_repeat_words('_h')} ELSE 0L END"),
             "n_lines": F.expr("CAST(size(_lines) AS bigint)"),
             "n_runs": F.expr("CAST(size(filter(zip_with(slice(_words, 1, greatest(size(_words) - 1, 0)), slice(_words, 2, size(_words)), (a, b) -> a = b), x -> x)) AS bigint)"),
-            "n_upper": F.expr(r"CAST(length(text) - length(regexp_replace(text, r'\p{Lu}+', '')) AS bigint)"),
-            "n_letters": F.expr(r"CAST(length(text) - length(regexp_replace(text, r'\p{L}+', '')) AS bigint)"),
+            "n_upper": F.expr(r"CAST(length(text) - length(regexp_replace(text, r'[A-Z\u00C0-\u00DE\u0391-\u03A9\u0410-\u042F]', '')) AS bigint)"),
         }
     ).drop("_words", "_lines", "_h")
 
@@ -120,13 +120,14 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that pass, with all their columns.  Texts are read twice and never shuffled."""
-    counts = features(docs.select(F.col(text_col).alias("text"))).select(*PARTS)
-    model = fit(counts)
+    """The rows of docs that pass, with all their columns.
+
+    Rows and their counts are written once to the shared folder, so counts aren't taken twice
+    and texts are never shuffled.
+    """
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text_col].alias("text"))
-    # a filter that Spark pushed below these projections would repeat their expressions in place of each name
-    held = verdict(features(packed), model).withColumn("_row_number", F.monotonically_increasing_id())
-    return held.where("kept AND _row_number >= 0").select("_row.*")
+    rows = Scratch(docs.sparkSession, "quality").save(features(packed).select("_row", *PARTS), "rows")
+    return verdict(rows, fit(rows)).where("kept").select("_row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ._store import Scratch
+from ._text import lean
 from ._tokens import encoder, vocabulary
 from .minhash import small_batches
 
@@ -48,7 +49,7 @@ def _frames(docs: DataFrame, path: str, end_id: int, width: int, dictionary: byt
             frames = [press.compress(x.astype(f"<u{width}").tobytes()) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n", "frame"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, frame binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, frame binary")
 
 
 def train(docs: DataFrame, path: str, end_id: int, width: int, sample: int = SAMPLE) -> bytes:
@@ -113,7 +114,7 @@ def write_ids(docs: DataFrame, target: str, path: str, end_id: int, id_col: str
 
     keys = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.col("frame")]
     ordered = frames.repartitionByRange(max(1, -(-size // SHARD)), *keys).sortWithinPartitions(*keys)
-    _write(ordered.mapInArrow(shards, "blob binary"), f"{target}/ids")
+    _write(ordered.mapInArrow(lean(shards), "blob binary"), f"{target}/ids")
     _write(spark.createDataFrame([(bytearray(dictionary),)], "blob binary").coalesce(1), f"{target}/dictionary")
     scratch.drop(frames)
 
@@ -155,7 +156,7 @@ def read_ids(spark: SparkSession, source: str) -> DataFrame:
                     at += length + 1
 
     files = spark.read.format("binaryFile").load(f"{source}/ids").select("path", "content")
-    docs = files.mapInArrow(run, "file string, doc_id long, start long, n_tokens long, ids binary")
+    docs = files.mapInArrow(lean(run), "file string, doc_id long, start long, n_tokens long, ids binary")
     return docs
 
 
