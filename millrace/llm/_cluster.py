@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import Scratch
+from ._text import lean, shingle_rows
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -36,45 +39,112 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, scratch: Scratch, given: DataFrame | None = None, grow: int = 4) -> DataFrame:
-    """Components (node, component) of all verified links between nodes that share a key, and of the given links (a, b).
+def verifier(texts: DataFrame, shingle: int, percent: int, sketch: tuple[int, float] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """pairs (a, b) -> those with 100 * intersection >= percent * union of their full shingle sets.
 
-    postings: key, node, n (set size; null if unknown).  verify takes pairs (a, b) and returns those that are
-    linked.  Pairs whose size ratio is under ratio can't be linked and aren't made.
+    sketch (k, share): pairs whose k smallest hashes of the union hold less than this share of common ones are dropped first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for batch in batches:
+            a, b, good = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            right = batch.column(3).to_pylist()
+            for i, (_, x) in enumerate(shingle_rows(batch.column(2), shingle)):
+                if last[0] != right[i]:  # pairs come sorted by b
+                    last = (right[i], np.unique(next(shingle_rows(pa.array([right[i]], pa.string()), shingle))[1]))
+                x, y = np.unique(x), last[1]
+                if sketch:
+                    k, share = sketch
+                    u = np.union1d(x[:k], y[:k])[:k]
+                    if np.isin(u, np.intersect1d(x[:k], y[:k], assume_unique=True), assume_unique=True).sum() < share * len(u):
+                        continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and 100 * both >= percent * (len(x) + len(y) - both):
+                    good.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        return two.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
+
+    return verify
+
+
+def exact_lists(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """key, node, n, at: inverted lists of full shingle sets in which every linked pair meets.
+
+    Values stand in one order, rarest first.  Of two sets that are linked, the first common value
+    is among the first n - ceil(percent * n / 100) + 1 of either; a set with many values of its
+    own has few or none there, so it stands in no long list.  at is a value's place, by which
+    ``_meets`` bounds the intersection.  A node with several texts has all its values, n null.
+    """
 
-    A list is not paired with itself.  First each node is compared with one pivot only, the list
-    head that most of its lists name.  Then, in each list whose nodes are not yet all in one
-    component, pivots (from its smallest components first) are compared with every node of
-    other components and leave the list; their number grows by a factor each round.  A list is
-    done when one component or one node is left, so no link between components is missed and a
-    group of m near copies costs about m comparisons.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(h) for _, h in shingle_rows(batch.column(1), shingle)]
+            off = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(off, flat)], ["node", "keys"])
+
+    sets = texts.select("node", "text").mapInArrow(lean(run), "node long, keys array<long>")
+    values = sets.select("node", F.size("keys").cast("long").alias("n"), F.explode("keys").alias("key"))
+    shared = values.groupBy("key").agg(F.count("*").alias("found")).where("found > 1")
+    several = texts.groupBy("node").agg(F.count("*").alias("texts")).where("texts > 1")
+    here = Window.partitionBy("node")
+    placed = values.join(shared, "key").withColumn("at", F.col("n") - F.count("*").over(here) + F.row_number().over(here.orderBy("found", "key")))
+    placed = placed.join(several, "node", "left").where(f"texts IS NOT NULL OR at <= n - ceil({percent} * n / 100D - 1e-9D) + 1")
+    return placed.select("key", "node", F.when(F.col("texts").isNull(), F.col("n")).alias("n"), "at")
+
+
+def link(postings: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: Scratch, given: DataFrame | None = None, sketch: tuple[int, float] | None = None, grow: int = 4) -> DataFrame:
+    """Components (node, component) of all links between nodes that share a key, and of the given links (a, b).
+
+    postings: key, node, weight (of the node).  texts: node, text.  Nodes are linked if
+    100 * intersection >= percent * union of their shingle sets.
+
+    A list is not paired with itself.  First each node is compared with one pivot only: of its
+    lists' heaviest nodes the one that most of them name.  Nodes of lists that are then all in
+    one component are done.  The others are listed anew by their full sets (``exact_lists``),
+    which keeps apart those that can't be linked.  In each of these lists, pivots (from its
+    smallest components first) are compared with the nodes of other components and leave the
+    list; their number grows by a factor each round, until one component or one node is left.
+    So no link between components is missed, and a group of m near copies costs about m
+    comparisons.
     """
-    left = scratch.save(postings, "lists")
-    heads = left.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"))
-    near = left.join(heads, "key").where("node <> p.node").where(_close("n", "p.n", ratio)).groupBy("node", F.col("p.node").alias("p")).agg(F.count("*").alias("shared"))
+    verify = verifier(texts, shingle, percent, sketch)
+    first = scratch.save(postings, "lists")
+    heads = first.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("p"))
+    near = first.join(heads, "key").where("node <> p.node").groupBy("node", F.col("p.node").alias("p")).agg(F.count("*").alias("shared"))
     seed = near.groupBy("node").agg(F.max(F.struct("shared", "p")).alias("best")).select(F.col("node").alias("a"), F.col("best.p").alias("b"))
     tested = scratch.save(seed, "pairs")
     links = verify(tested)
     links = scratch.save(links if given is None else links.unionAll(given), "links")
     found = components(links, scratch)
+
+    open_nodes = _open(first, found).select("node").distinct()
+    left = texts.join(open_nodes, "node", "left_semi")
+    scratch.drop()
+    left = scratch.save(exact_lists(left, shingle, percent), "lists")
+    scratch.drop(first)
     pivots = 1
     while True:
-        of = left.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        open_lists = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        now = scratch.save(of.join(open_lists, "key", "left_semi"), "open")
+        now = scratch.save(_open(left, found), "open")
         if now.isEmpty():
+            scratch.drop(left, now)
             break
         sizes = now.groupBy("key", "c").agg(F.count("*").alias("members"))
         order = Window.partitionBy("key").orderBy("members", "c", "node")
         heads = now.join(sizes, ["key", "c"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
-        heads = scratch.save(heads.select("key", F.col("node").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn"), "r"), "pivots")
+        heads = scratch.save(heads.select("key", F.col("node").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("at").alias("pat"), "r"), "pivots")
         own = heads.select("key", F.col("p").alias("node"), F.col("r").alias("own"))
         marked = now.join(own, ["key", "node"], "left")
-        pairs = marked.join(heads, "key").where("c <> pc AND (own IS NULL OR own < r)").where(_close("n", "pn", ratio)).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        pairs = marked.join(heads, "key").where("c <> pc AND (own IS NULL OR own < r)").where(_meets(percent)).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = scratch.save(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
         new = scratch.save(verify(fresh), "links")
-        old_left, left = left, scratch.save(marked.where("own IS NULL").select("key", "node", "n"), "lists")
+        old_left, left = left, scratch.save(marked.where("own IS NULL").select("key", "node", "n", "at"), "lists")
         if not new.isEmpty():
             links = scratch.save(links.unionAll(new), "links")
             found = components(links, scratch)
@@ -84,5 +154,13 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: f
     return found
 
 
-def _close(x: str, y: str, ratio: float) -> str:
-    return f"coalesce({x} >= {ratio} * {y} - 1e-9D AND {y} >= {ratio} * {x} - 1e-9D, true)"
+def _open(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """What stands in lists of more than one component, with its component c."""
+    of = lists.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    several = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    return of.join(several, "key", "left_semi")
+
+
+def _meets(percent: int) -> str:
+    """Whether what follows a common value's places leaves room for enough of an intersection; true where a size isn't known."""
+    return f"coalesce((1 + least(n - at, pn - pat)) * {100 + percent} >= {percent} * (n + pn), true)"

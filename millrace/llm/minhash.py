@@ -66,37 +66,6 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, k: int =
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run), "id long, n_shingles long, print binary, sketch array<long>")
 
 
-def verifier(texts: DataFrame, shingle: int, percent: int, k: int, share: float):
-    """pairs (a, b) -> those with 100 * intersection >= percent * union.  texts: node, text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple = (None, None)
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left = shingle_rows(batch.column(2), shingle)
-            good = []
-            for i, (_, x) in enumerate(left):
-                key = batch.column(3)[i].as_py()
-                if kept[0] != key:
-                    kept = (key, np.unique(next(shingle_rows(pa.array([key], pa.string()), shingle))[1]))
-                x, y = np.unique(x), kept[1]
-                if len(x) and len(y):
-                    u = np.union1d(x[:k], y[:k])[:k]
-                    common = np.intersect1d(x[:k], y[:k], assume_unique=True)
-                    if np.isin(u, common, assume_unique=True).sum() >= share * len(u):
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if 100 * both >= percent * (len(x) + len(y) - both):
-                            good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return two.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
-
-    return verify
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -122,9 +91,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a share of s is at least ceil(share * s) values; of these, each that one document alone has takes a place in the prefix
     listed = values.join(common, "key").join(nodes, "node")
     here = Window.partitionBy("node")
-    listed = listed.withColumn("s", F.least("n", F.lit(k))).withColumn("place", F.row_number().over(here.orderBy("found", "key"))).withColumn("many", F.count("*").over(here))
+    listed = listed.withColumn("s", F.least("n", F.lit(k))).withColumn("place", F.row_number().over(here.orderBy("found", "key"))).withColumn("many", F.count("*").over(here)).withColumn("weight", F.sum("found").over(here))
     prefix = listed.where(f"texts > 1 OR place <= s - ceil({share}D * s) + 1 - (s - many)")
-    postings = scratch.save(prefix.select("key", "node", F.when(F.col("texts") == 1, F.col("n")).alias("n")), "postings")
+    postings = scratch.save(prefix.select("key", "node", "weight"), "postings")
 
     scratch.drop()
     owners = live.join(classes, "print").select("id", "node")
@@ -133,7 +102,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(postings.select("node").distinct(), "node", "left_semi")
     texts = scratch.save(texts, "texts")
     scratch.drop()
-    found = link(postings, verifier(texts, shingle, percent, k, share), percent / 100, scratch, given)
+    found = link(postings, texts, shingle, percent, scratch, given, (k, share))
 
     scratch.drop(postings, texts)
     out = rows.select("id", "n_shingles", "print").join(classes.select("print", "node"), "print", "left").join(found, "node", "left")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from ._cluster import link
 from ._store import Scratch
-from ._text import _STEP, U, lean, mix, shingle_rows, slices, span_hash, words
+from ._text import _STEP, U, lean, mix, slices, span_hash, words
 from .minhash import small_batches
 
 LEAST = 16
@@ -83,25 +83,6 @@ def signatures(texts: list[str], bands: int, rows: int) -> tuple[list[bytes], np
     return prints, np.concatenate(keys) if keys else np.zeros((0, bands), np.int64)
 
 
-def _verifier(texts: DataFrame, shingle: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, good = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            pairs = zip(shingle_rows(batch.column(2), shingle), shingle_rows(batch.column(3), shingle), strict=True)
-            for i, ((_, x), (_, y)) in enumerate(pairs):
-                x, y = np.unique(x), np.unique(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both and 100 * both >= percent * (len(x) + len(y) - both):
-                    good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        return one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
-
-    return verify
-
-
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least: int = LEAST) -> DataFrame:
     """One row per paragraph that has a copy or near copy: doc_id, paragraph (number), start, end (code points), n_words, first_doc_id, first_paragraph, removed.
 
@@ -138,10 +119,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     classes = found.groupBy("print").agg(F.min(F.struct("doc_id", "paragraph", "n_words", "start", "end", "bands")).alias("f"), F.count("*").alias("copies"))
     classes = scratch.save(classes.select("print", "copies", "f.*").withColumn("node", F.monotonically_increasing_id()), "classes")
     scratch.drop()
-    listed = classes.select("node", F.explode("bands").alias("key"), (F.col("n_words") - SHINGLE + 1).alias("n"))
+    listed = classes.select("node", F.explode("bands").alias("key"), F.col("copies").alias("weight"))
     shared = listed.groupBy("key").agg(F.count("*").alias("found")).where("found > 1").select("key")
-    # distinct shingles may be fewer than all, so sizes can't rule a pair out
-    postings = scratch.save(listed.join(shared, "key").select("key", "node", F.lit(None).cast("long").alias("n")), "postings")
+    postings = scratch.save(listed.join(shared, "key").select("key", "node", "weight"), "postings")
     scratch.drop()
     wanted = classes.join(postings.select("node").distinct(), "node").select("node", "doc_id", "print", "start", "end", "paragraph")
 
@@ -156,7 +136,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     spans = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("node", "start", "end")).alias("spans"))
     texts = scratch.save(docs.join(spans, "doc_id").select("text", "spans").mapInArrow(lean(pick), "node long, text string"), "texts")
     scratch.drop()
-    linked = link(postings, _verifier(texts, SHINGLE, percent), percent / 100, scratch)
+    linked = link(postings, texts, SHINGLE, percent, scratch)
 
     scratch.drop(postings, texts)
     of = classes.select("print", "copies", "node", "doc_id", "paragraph").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
