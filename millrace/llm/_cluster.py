@@ -91,10 +91,14 @@ def exact_lists(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     sets = texts.select("node", "text").mapInArrow(lean(run), "node long, keys array<long>")
     values = sets.select("node", F.size("keys").cast("long").alias("n"), F.explode("keys").alias("key"))
     shared = values.groupBy("key").agg(F.count("*").alias("found")).where("found > 1")
-    several = texts.groupBy("node").agg(F.count("*").alias("texts")).where("texts > 1")
     here = Window.partitionBy("node")
     placed = values.join(shared, "key").withColumn("at", F.col("n") - F.count("*").over(here) + F.row_number().over(here.orderBy("found", "key")))
-    placed = placed.join(several, "node", "left").where(f"texts IS NOT NULL OR at <= n - ceil({percent} * n / 100D - 1e-9D) + 1")
+    several = texts.groupBy("node").agg(F.count("*").alias("texts")).where("texts > 1")
+    if several.isEmpty():
+        placed = placed.withColumn("texts", F.lit(None).cast("long"))
+    else:
+        placed = placed.join(several, "node", "left")
+    placed = placed.where(f"texts IS NOT NULL OR at <= n - ceil({percent} * n / 100D - 1e-9D) + 1")
     return placed.select("key", "node", F.when(F.col("texts").isNull(), F.col("n")).alias("n"), "at")
 
 
@@ -107,9 +111,10 @@ def link(postings: DataFrame, texts: DataFrame, shingle: int, percent: int, scra
     A list is not paired with itself.  First each node is compared with one pivot only: of its
     lists' heaviest nodes the one that most of them name.  Nodes of lists that are then all in
     one component are done.  The others are listed anew by their full sets (``exact_lists``),
-    which keeps apart those that can't be linked.  In each of these lists, pivots (from its
-    smallest components first) are compared with the nodes of other components and leave the
-    list; their number grows by a factor each round, until one component or one node is left.
+    which keeps apart those that can't be linked.  In each of these lists, pivots are compared
+    with the nodes of other components and leave the list; their number grows by a factor each
+    round, until one component or one node is left.  They are taken from the list's largest
+    components for three rounds, as most nodes join these, and then from its smallest.
     So no link between components is missed, and a group of m near copies costs about m
     comparisons.
     """
@@ -128,14 +133,14 @@ def link(postings: DataFrame, texts: DataFrame, shingle: int, percent: int, scra
     scratch.drop()
     left = scratch.save(exact_lists(left, shingle, percent), "lists")
     scratch.drop(first)
-    pivots = 1
+    pivots, turn = 1, 0
     while True:
         now = scratch.save(_open(left, found), "open")
         if now.isEmpty():
             scratch.drop(left, now)
             break
         sizes = now.groupBy("key", "c").agg(F.count("*").alias("members"))
-        order = Window.partitionBy("key").orderBy("members", "c", "node")
+        order = Window.partitionBy("key").orderBy(F.desc("members") if turn < 3 else F.asc("members"), "c", "node")
         heads = now.join(sizes, ["key", "c"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
         heads = scratch.save(heads.select("key", F.col("node").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("at").alias("pat"), "r"), "pivots")
         own = heads.select("key", F.col("p").alias("node"), F.col("r").alias("own"))
@@ -150,7 +155,7 @@ def link(postings: DataFrame, texts: DataFrame, shingle: int, percent: int, scra
             found = components(links, scratch)
         tested = tested.unionAll(fresh)
         scratch.drop(old_left, now)
-        pivots *= grow
+        pivots, turn = pivots * grow, turn + 1
     return found
 
 

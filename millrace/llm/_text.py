@@ -116,7 +116,7 @@ def release() -> None:
     from . import _tokens
 
     for e in _tokens._encoders.values():
-        e.cache.clear()
+        e.forget()
     _powers.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -12,7 +12,7 @@ from itertools import chain
 
 import numpy as np
 
-CACHE = 100_000
+CACHE = 600_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -23,33 +23,86 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _gather(flat: np.ndarray, first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[first[n] : first[n + 1]] for each n, end to end, and where each ends."""
+    begin = first[number]
+    size = first[number + 1] - begin
+    stop = np.cumsum(size)
+    total = int(stop[-1]) if len(stop) else 0
+    return flat[np.arange(total) + np.repeat(begin - stop + size, size)], stop
+
+
 class Encoder:
+    """cache: what stands after a space -> its number; flat[first[i] : first[i + 1]] are the ids of number i.  Number 0 marks what must be encoded with its text."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, tuple[int, ...] | None] = {}
+        self.tokenizer.model._resize_cache(0)  # ours takes its place
+        text = "Aé"
+        self.fold = self.raw([text])[0] == self.raw([text.lower()])[0]  # case doesn't matter
+        self.forget()
+
+    def forget(self) -> None:
+        self.cache: dict[str, int] = {}
+        self.first, self.flat = np.zeros(2, np.int64), np.zeros(0, np.uint32)
+        self.stems: dict[str, int] = {}
+        self.stem_first, self.stem_flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, words: list[str]) -> None:
+        """Adds words to the cache.  Punctuation after a letter is a piece of its own in these vocabularies, so stems and ends are encoded once each."""
+        halves = []
+        for w in words:
+            stem = w.rstrip(".,!?;:")
+            if not stem or not stem[-1].isalpha():
+                stem = w
+            halves += [" " + (stem.lower() if self.fold and stem.isascii() else stem), w[len(stem) :]]
+        new = list(dict.fromkeys(halves).keys() - self.stems.keys())
+        flat, at = self.many(new)
+        self.stems.update(zip(new, range(len(self.stem_first) - 1, len(self.stem_first) - 1 + len(new)), strict=True))
+        self.stem_first = np.concatenate([self.stem_first, at[1:] + len(self.stem_flat)])
+        self.stem_flat = np.concatenate([self.stem_flat, flat])
+        number = np.fromiter(map(self.stems.__getitem__, halves), np.int64, len(halves))
+        got, stop = _gather(self.stem_flat, self.stem_first, number)
+        self.cache.update(zip(words, range(len(self.first) - 1, len(self.first) - 1 + len(words)), strict=True))
+        self.first = np.concatenate([self.first, stop[1::2] + len(self.flat)])
+        self.flat = np.concatenate([self.flat, got])
 
     def raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, end to end, and where each begins."""
+        ids = self.raw(texts) if texts else []
+        at = np.cumsum(np.fromiter(chain([0], map(len, ids)), np.int64, len(ids) + 1))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, at[-1]), at
+
     def ids(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """Ids of each whole text (null: empty), then the end id."""
         parts = [(t or "").split(" ") for t in texts]
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.forget()
         new = list(set(chain.from_iterable(p[1:] for p in parts)) - self.cache.keys())
-        good = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        self.cache.update(dict.fromkeys(new))
-        self.cache.update(zip(good, map(tuple, self.raw([" " + w for w in good])), strict=True))
-        heads = self.raw([p[0] for p in parts])
-        get, out, tail = self.cache.__getitem__, [], (end,)
-        for text, p, head in zip(texts, parts, heads, strict=True):
-            rest = list(map(get, p[1:]))
-            if None in rest or rest and (not p[0] or p[0][-1].isspace()):
-                head, rest = self.raw([text])[0], []
-            out.append(np.fromiter(chain(head, chain.from_iterable(rest), tail), np.uint32))
+        good = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and "<|" not in w]
+        self.cache.update(dict.fromkeys(new, 0))
+        self.learn(good)
+
+        counts = np.array([len(p) - 1 for p in parts])
+        number = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(p[1:] for p in parts)), np.int64, counts.sum())
+        got, stop = _gather(self.flat, self.first, number)
+        word = np.cumsum(np.concatenate([[0], counts]))
+        edge = np.concatenate([[0], stop])[word]
+        odd = np.concatenate([[0], np.cumsum(number == 0)])[word]
+        whole = [odd[i] < odd[i + 1] or "<|" in p[0] or (len(p) > 1 and (not p[0] or p[0][-1].isspace())) for i, p in enumerate(parts)]
+        heads, head_at = self.many(["" if w else p[0] for p, w in zip(parts, whole, strict=True)])
+        out, tail = [], np.array([end], np.uint32)
+        for i, w in enumerate(whole):
+            if w:
+                out.append(np.array([*self.raw([texts[i]])[0], end], np.uint32))
+            else:
+                out.append(np.concatenate([heads[head_at[i] : head_at[i + 1]], got[edge[i] : edge[i + 1]], tail]))
         return out
 
 
