@@ -9,17 +9,25 @@ a third of all rows share costs as much as any other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ._store import Scratch
+from ._text import lean
+from .minhash import small_batches
 
 BITS = 64
 SEGMENTS = 4
+SHARD, LEAST_SHARD = 1 << 18, 1 << 13  # distinct codes of a shard; small tables make up to 32 shards
+QUERIES = 1024
+STEP = 16  # queries that a worker looks up at a time
 
 
 def sign_code(column: str, bits: int = BITS) -> Column:
@@ -28,60 +36,108 @@ def sign_code(column: str, bits: int = BITS) -> Column:
     return F.when(F.col(column).isNotNull(), reduce(lambda a, b: a.bitwiseOR(b), parts))
 
 
+def nearest(codes: np.ndarray, weights: np.ndarray, queries: np.ndarray, k: int, bits: int = BITS, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, code, distance), places and distances of all codes up to the distance at which k rows are reached.
+
+    codes and queries: 64-bit unsigned, distinct.  weights: rows of a code.
+    """
+    width = bits // segments
+    mask, size = np.uint64((1 << width) - 1), len(codes)
+    shifts = [np.uint64(s * width) for s in range(segments)]
+    lists, starts = [], []
+    for shift in shifts:
+        v = ((codes >> shift) & mask).astype(np.int64)
+        lists.append(np.argsort(v, kind="stable"))
+        starts.append(np.concatenate([[0], np.cumsum(np.bincount(v, minlength=1 << width))]))
+    values = np.arange(1 << width, dtype=np.int64)
+    near = np.bitwise_count(values)
+    out: list[tuple] = []
+    for lo in range(0, len(queries), STEP):
+        part = queries[lo : lo + STEP]
+        active, kept = np.arange(len(part)), []
+        for radius in range(width + 1):
+            if segments * comb(width, radius) >= size:  # more values to look up than codes: what is left of the queries meets them all
+                pairs = [(-1, np.repeat(active, size), np.tile(np.arange(size), len(active)))]
+            else:
+                pairs = []
+                for s, shift in enumerate(shifts):
+                    probe = ((part[active] >> shift) & mask).astype(np.int64)[:, None] ^ values[near == radius][None, :]
+                    first = starts[s][probe]
+                    count = starts[s][probe + 1] - first
+                    at = np.repeat((first - (np.cumsum(count) - count.ravel()).reshape(count.shape)).ravel(), count.ravel()) + np.arange(count.sum())
+                    pairs.append((s, np.repeat(active, count.sum(axis=1)), lists[s][at]))
+            for s, q, c in pairs:
+                x = part[q] ^ codes[c]
+                # a code is met once: in its first segment that is exactly radius apart, if none is nearer
+                new = np.ones(len(x), bool)
+                for t, shift in enumerate(shifts):
+                    new &= np.bitwise_count((x >> shift) & mask) >= (radius + 1 if t < s else radius)
+                kept.append((q[new], c[new], np.bitwise_count(x[new]).astype(np.int64)))
+            if segments * comb(width, radius) >= size:
+                break
+            covered = segments * (radius + 1) - 1
+            q, c, d = (np.concatenate(z) for z in zip(*kept, strict=True))
+            inside = d <= covered
+            reached = np.bincount(q[inside], weights[c[inside]], minlength=len(part))
+            active = active[reached[active] < k]
+            kept = [(q, c, d)]
+            if not len(active):
+                break
+        q, c, d = (np.concatenate(z) for z in zip(*kept, strict=True))
+        order = np.lexsort((d, q))
+        q, c, d = q[order], c[order], d[order]
+        if len(q):
+            total = np.cumsum(weights[c])
+            group = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (d[1:] != d[:-1])]))
+            member = np.cumsum(np.isin(np.arange(len(q)), group)) - 1
+            before = np.concatenate([[0], total])[:-1]
+            own = np.searchsorted(q, np.arange(len(part)))
+            nearer = before[group][member] - before[np.minimum(own, len(q) - 1)][q]
+            want = nearer < k
+            out.append((q[want] + lo, c[want], d[want]))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
     """query_id, rank (from 1), id, distance: each query's k nearest rows by Hamming distance, ties by id.
 
     rows and queries: id, code (long).  Rows with a null id or code are left out.  A query that
     is itself a row finds itself.  Fewer than k rows give fewer results, no rows none.
+
+    The codes are dealt into shards of at most about SHARD by their hash; each shard has its own
+    index and serves the stated queries in blocks of about QUERIES.
     """
     spark = rows.sparkSession
+    ship(spark)
     scratch = Scratch(spark, "hamming")
-    width = bits // segments
-    mask = (1 << width) - 1
     rows = rows.where("id IS NOT NULL AND code IS NOT NULL").select("id", "code")
     queries = scratch.save(queries.where("id IS NOT NULL AND code IS NOT NULL").select(F.col("id").alias("query_id"), F.col("code").alias("q")), "queries")
-    nearest = Window.partitionBy("code").orderBy("id")
-    members = rows.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k).select("code", "id")
+    first = Window.partitionBy("code").orderBy("id")
+    members = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).select("code", "id")
     members = scratch.save(members, "members")
     codes = scratch.save(members.groupBy("code").agg(F.count("*").alias("n")), "codes")
-    size = codes.count()
-
-    def value(code: str, s: Column | int) -> Column:
-        return F.expr(f"shiftrightunsigned({code}, {s * width}) & {mask}L")
-
-    index = codes.select("code", "n", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), value("code", s).alias("v")) for s in range(segments)])).alias("x")).select("code", "n", "x.s", "x.v")
-    index = scratch.save(index, "index")
-    active, kept = scratch.save(queries.select("q").distinct(), "active"), None
-    apart = lambda s: F.bit_count(value("(q ^ code)", s))
-    for radius in range(width + 1):
-        if active.isEmpty():
-            break
-        whole = segments * comb(width, radius) >= size
-        if whole:
-            # more values to look up than codes: the stated queries are compared with all codes, and are done
-            met = codes.join(F.broadcast(active), how="cross") if active.count() <= 10_000 else codes.join(active, how="cross")
-            met = met.where(F.array_min(F.array(*[apart(s) for s in range(segments)])) >= radius)
-        else:
-            flips = [sum(1 << b for b in c) for c in combinations(range(width), radius)]
-            flips = F.broadcast(spark.createDataFrame([(f,) for f in flips], "f long"))
-            probes = active.select("q", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), value("q", s).alias("v")) for s in range(segments)])).alias("x"))
-            probes = probes.crossJoin(flips).select("q", "x.s", F.expr("x.v ^ f").alias("v"))
-            met = probes.join(index, ["s", "v"])
-            # a code is met once: in its first segment that is exactly radius apart, if none is nearer
-            once = reduce(lambda a, b: a & b, [apart(s) >= F.when(F.col("s") > s, radius + 1).otherwise(radius) for s in range(segments)])
-            met = met.where(once)
-        met = met.select("q", "code", "n", F.bit_count(F.expr("q ^ code")).alias("distance"))
-        met = scratch.save(met if kept is None else kept.unionByName(met), "met")
-        if kept is not None:
-            scratch.drop(kept)
-        kept = met
-        if whole:
-            break
-        covered = segments * (radius + 1) - 1
-        near = kept.where(F.col("distance") <= covered).groupBy("q").agg(F.sum("n").alias("found")).where(F.col("found") >= k).select("q")
-        active = scratch.save(active.join(near, "q", "left_anti"), "active")
-    if kept is None:
-        kept = codes.select(F.lit(0).cast("long").alias("q"), "code", "n", F.lit(0).alias("distance")).limit(0)
+    asked = scratch.save(queries.select("q").distinct(), "asked")
+    size, n_asked = codes.count(), asked.count()
+    shards = max(-(-size // SHARD), min(32, -(-size // LEAST_SHARD)), 1)
+    blocks = max(-(-n_asked // QUERIES), 1)
+
+    def packed(df: DataFrame, by: str, parts: int, fields: list[str]) -> DataFrame:
+        return df.groupBy(F.pmod(F.xxhash64(by), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct(*fields)).alias("all")).select("part", *[F.col(f"all.{c}").alias(c) for c in fields])
+
+    sides = packed(asked, "q", blocks, ["q"]).select(F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("part"), "q")
+    work = packed(codes, "code", shards, ["code", "n"]).join(sides, "part")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c, n, q = (batch.column(j).slice(i, 1).flatten().to_numpy() for j in range(3))
+                at, place, apart = nearest(c.view(np.uint64), n, q.view(np.uint64), k, bits, segments)
+                yield pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(c[place]), pa.array(n[place]), pa.array(apart)], ["q", "code", "n", "distance"])
+
+    small_batches(spark, 8)
+    kept = scratch.save(work.select("code", "n", "q").mapInArrow(lean(look), "q long, code long, n long, distance long"), "met")
     # codes at the distance where k rows are reached all stay, as ids decide between them
     totals = kept.groupBy("q", "distance").agg(F.sum("n").alias("n"))
     nearer = F.sum("n").over(Window.partitionBy("q").orderBy("distance")) - F.col("n")

@@ -69,7 +69,9 @@ def test_odd_and_empty_tables(spark, odd, name):
         assert empty.columns == odd.columns
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_components_against_union_find(spark, monkeypatch, one_task):
+    monkeypatch.setattr("millrace.llm._cluster.ONE_TASK", one_task)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(60)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
@@ -308,6 +310,21 @@ def test_hamming_odd_rows(spark):
     assert hamming.search(df.limit(0), df.limit(0), 3).count() == 0
 
 
+def test_hamming_blocks(spark, monkeypatch):
+    """Many shards and query blocks, hot codes, near clusters and far strays: same as brute force."""
+    monkeypatch.setattr(hamming, "SHARD", 50)
+    monkeypatch.setattr(hamming, "LEAST_SHARD", 20)
+    monkeypatch.setattr(hamming, "QUERIES", 7)
+    rng = random.Random(9)
+    heads = [rng.getrandbits(64) for _ in range(6)]
+    codes = [heads[0]] * 60 + [rng.choice(heads) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(300)] + [rng.getrandbits(64) for _ in range(240)]
+    rows = [(i, c - (1 << 64) if c >> 63 else c) for i, c in enumerate(codes)]
+    df = spark.createDataFrame(rows, "id long, code long")
+    got = {tuple(r) for r in hamming.search(df, df.where("id % 10 = 0"), 5).collect()}
+    want = {(q, n + 1, i, d) for q in range(0, 600, 10) for n, (d, i) in enumerate(sorted(((codes[q] ^ c).bit_count(), i) for i, c in enumerate(codes))[:5])}
+    assert got == want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
