@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,11 @@ from ._store import Scratch
 from ._text import lean, shingle_rows
 
 
-ONE_TASK = 200_000  # edges; under 100 MB in a Python worker
+CHUNK = 200_000  # nodes held by a task; under 100 MB in a Python worker
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v) -> node and the smallest node reachable, by union-find."""
+def _forest(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) -> for about chunk nodes at a time, each node and the smallest one it reaches there, loops left out, by union-find."""
     above: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -25,42 +26,45 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             above[x] = x = above.setdefault(up, up)
         return x
 
+    def out() -> pa.RecordBatch:
+        pairs = [(x, r) for x in list(above) if (r := root(x)) != x]
+        above.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], ["u", "v"])
+
     for batch in batches:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             low, high = sorted((root(u), root(v)))
             above[high] = low
-    if above:
-        yield pa.RecordBatch.from_arrays([pa.array(list(above), pa.int64()), pa.array([root(x) for x in above], pa.int64())], ["node", "component"])
+        if len(above) >= chunk:
+            yield out()
+    yield out()
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
     """(node, component) for each node of edges (a, b); component is the smallest node reachable.
 
-    At most ONE_TASK distinct edges (counted first) are merged by union-find within one task.
-    Beyond, alternating large-star and small-star contraction: O(log^2) rounds of joins and partial
-    aggregations; no node's neighbours are ever gathered in a list.  Nulls and loops are ignored.
+    Each round first merges the edges of each input partition by union-find, in bounded chunks,
+    then contracts across partitions by a large star and a small star, joins and partial
+    aggregations; no node's neighbours are ever gathered in a list.  It ends when each node
+    names one root.  Rounds are alike at every size.  Nulls and loops are ignored.
     """
-    e = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-
-    if e.count() <= ONE_TASK:
-        return scratch.save(e.coalesce(1).mapInArrow(lean(_forest), "node long, component long"), "components")
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
-
-    now = state(e)
-    while now[0]:
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    last = None
+    while True:
+        e = scratch.save(e.mapInArrow(lean(partial(_forest, chunk=chunk)), "u long, v long"), "edges")
+        scratch.drop(last)
+        roots = e.select(F.col("u").alias("node"), "v").unionAll(e.select(F.col("v").alias("node"), "v")).groupBy("node").agg(F.min("v").alias("component"), F.max("v").alias("other"))
+        roots = scratch.save(roots, "roots")
+        if roots.where("component <> other").isEmpty():
+            scratch.drop(e)
+            return roots.select("node", "component")
+        scratch.drop(roots)
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        old, e = e, scratch.save(small, "edges")
-        before, now = now, state(e)
-        scratch.drop(old)
-        if now == before:
-            break
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
+        last, e = e, small
 
 
 def verifier(texts: DataFrame, shingle: int, percent: int, sketch: tuple[int, float] | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -175,8 +179,7 @@ def link(postings: DataFrame, texts: DataFrame, shingle: int, percent: int, scra
         new = scratch.save(verify(fresh), "links")
         old_left, left = left, scratch.save(marked.where("own IS NULL").select("key", "node", "n", "at"), "lists")
         if not new.isEmpty():
-            links = scratch.save(links.unionAll(new), "links")
-            found = components(links, scratch)
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(new), scratch)
         tested = tested.unionAll(fresh)
         scratch.drop(old_left, now)
         pivots, turn = pivots * grow, turn + 1

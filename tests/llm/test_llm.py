@@ -69,12 +69,11 @@ def test_odd_and_empty_tables(spark, odd, name):
         assert empty.columns == odd.columns
 
 
-@pytest.mark.parametrize("one_task", [0, 200_000])
-def test_components_against_union_find(spark, monkeypatch, one_task):
-    monkeypatch.setattr("millrace.llm._cluster.ONE_TASK", one_task)
+@pytest.mark.parametrize("chunk", [1, 200_000])
+def test_components_against_union_find(spark, chunk):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(60)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), chunk).collect()}
     parent = {x: x for e in edges for x in e}
 
     def find(x):
