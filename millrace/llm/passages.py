@@ -1,9 +1,12 @@
-"""Repeated passages by paragraph MinHash banding.
+"""Repeated passages: near copies of paragraphs by MinHash banding, and equal runs of words wherever they stand.
 
 A text is cut at line feeds, and within a line after sentences chosen by their own content, so
 that a passage is cut alike wherever it stands.  Paragraphs of LEAST words or more are hashed
 into bands tuned for recall, colliding ones are compared by exact Jaccard similarity of their
 shingle sets, and all but the first occurrence in each connected component are removable.
+
+Runs of SPAN or more equal words are found whatever lines and sentences they begin in or cross
+(``spans``).
 """
 
 from __future__ import annotations
@@ -11,11 +14,11 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -25,10 +28,12 @@ from ._text import _STEP, U, lean, mix, slices, span_hash, words
 from .minhash import small_batches
 
 LEAST = 16
+SPAN = 50
 SHINGLE = 5
 PERCENT = 80
 RECALL = 0.999
 STRIDE = 4
+_BLANK = " \t\n\v\f\r"
 _SENTENCE = re.compile(r"[.!?][\"')\]]*[ \t]+")
 
 
@@ -143,19 +148,155 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     heads = of.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.sum("copies").alias("members")).where("members > 1")
     of = of.select("print", "component").join(heads, "component").select("print", "first")
     out = found.select("doc_id", "paragraph", "start", "end", "n_words", "print").join(of, "print")
-    return out.select("doc_id", "paragraph", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), F.expr("doc_id <> first.doc_id OR paragraph <> first.paragraph").alias("removed"))
+    out = out.select("doc_id", "paragraph", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), F.expr("doc_id <> first.doc_id OR paragraph <> first.paragraph").alias("removed"))
+    out = scratch.save(out, "repeats")
+    scratch.drop(found, classes)
+    return out
 
 
-def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """docs with all columns, removable paragraphs cut out of the texts (with their line feed where a whole line goes); a text of which nothing is left goes."""
-    names = docs.columns
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each word on, by doubling."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    part, width, out, done = h, 1, None, 0
+    while True:
+        if n & width:
+            m = len(h) - done - width + 1
+            out = part if out is None else mix(out[:m] * _STEP[0] + part[done : done + m])
+            done += width
+        if done == n:
+            return out
+        part = mix(part[:-width] * _STEP[1] + part[width:])
+        width *= 2
+
+
+def lowest(x: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the n values from each place on."""
+    m, width = max(0, len(x) - n + 1), 1
+    while 2 * width <= n:
+        x = np.minimum(x[:-width], x[width:])
+        width *= 2
+    return np.minimum(x[:m], x[n - width : n - width + m])
+
+
+def _windows(h: np.ndarray, counts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row of each word; hash of the grams of span / 2 words; the smallest of them in each window of span words; whether the window is in one row."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    g = grams(h, span // 2)
+    return row, g, lowest(g, span - span // 2 + 1), row[: max(0, len(h) - span + 1)] == row[span - 1 :]
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+    """One row per run of ``span`` or more words that stands, word for word, elsewhere: doc_id, print (of the text), start, end (code points), n_words, first_doc_id, first_start, removed.
+
+    Each window of span words is looked at, so the result is exact but for 64-bit hashes.  Equal
+    windows have the same smallest gram of span / 2 words; only windows whose smallest gram
+    occurs twice are hashed whole.  They are sent in blocks of neighbours with one smallest gram,
+    and counted once for each class of equal blocks.  The first window by (doc_id, print, place)
+    stays; runs of others are removed, but for words they share with a window that stays.
+    Case of A-Z and kind of white space don't count.  Ids as in ``repeats``.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    small_batches(spark)
+    scratch = Scratch(spark, "spans")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print")).where("doc_id IS NOT NULL")
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, _, data, off in slices(batch.column(1)):
+                start, end, counts = words(data, off)
+                if len(start) < span:
+                    continue
+                row, g, least, inside = _windows(span_hash(data, start, end), counts, span)
+                room = span - span // 2
+                around = np.full(len(least) + 2 * room, ~U(0))
+                around[room : room + len(least)] = np.where(inside, ~least, ~U(0))
+                chosen = np.flatnonzero(~lowest(around, room + 1) == g)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row[chosen]], pa.int64()), pa.array(g[chosen].view(np.int64))], ["doc_id", "key"])
+
+    listed = scratch.save(docs.select("doc_id", "text").mapInArrow(lean(anchors), "doc_id long, key long"), "anchors")
+    shared = listed.groupBy("key").agg(F.count("*").alias("found")).where("found > 1").select("key")
+    keys = listed.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            wanted = batch.column(3)
+            for lo, hi, data, off in slices(batch.column(1)):
+                start, end, counts = words(data, off)
+                if len(start) < span:
+                    continue
+                h = span_hash(data, start, end)
+                row, _, least, inside = _windows(h, counts, span)
+                first = np.concatenate([[0], np.cumsum(counts)])
+                picked = [np.zeros(0, np.int64)]
+                for i in range(hi - lo):
+                    a, b = first[i], first[i + 1] - span + 1
+                    if a < b:
+                        picked.append(a + np.flatnonzero(np.isin(least[a:b], wanted[lo + i].values.to_numpy(zero_copy_only=False).view(np.uint64))))
+                at = np.concatenate(picked)
+                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                base = points[off[row[at]]]
+                h = grams(h, span)[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(at) > 1) | (np.diff(row[at]) != 0) | (least[at[1:]] != least[at[:-1]])
+                block = np.flatnonzero(new)
+                sizes = np.diff(np.append(block, len(at)))
+                within = np.arange(len(at)) - np.repeat(block, sizes)
+                whole_hash = np.add.reduceat(mix(h ^ mix(within.astype(np.uint64))), block) if len(block) else h
+                lists = [h.view(np.int64), (points[start[at]] - base).astype(np.int32), (points[end[at + span - 1]] - base).astype(np.int32)]
+                of, edges = at[block], pa.array(np.append(block, len(at)), pa.int32())
+                cols = [mix(whole_hash + sizes.astype(np.uint64)).view(np.int64), ids[lo + row[of]], prints[lo + row[of]], of - first[row[of]]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *(pa.ListArray.from_arrays(edges, pa.array(c)) for c in lists)], ["block", "doc_id", "print", "w", "h", "s", "e"])
+
+    found = docs.join(keys, "doc_id").select("doc_id", "text", "print", "keys").mapInArrow(lean(whole), "block long, doc_id long, print long, w long, h array<long>, s array<int>, e array<int>")
+    found = scratch.save(found, "blocks")
+    scratch.drop(listed)
+    # equal blocks have equal windows; the first stands for all
+    blocks = found.groupBy("block").agg(F.min(F.struct("doc_id", "print", "w", "h", "s")).alias("b"), F.count("*").alias("copies"))
+    blocks = scratch.save(blocks.select("block", "copies", "b.*"), "classes")
+    scratch.drop()
+    each = blocks.select("block", "copies", "doc_id", "print", "w", "s", F.posexplode("h").alias("o", "key"))
+    each = each.select("block", "o", "key", "copies", F.struct("doc_id", "print", (F.col("w") + F.col("o")).alias("w"), F.expr("s[o]").alias("s")).alias("at"))
+    heads = each.groupBy("key").agg(F.min("at").alias("f"), F.sum("copies").alias("copies")).where("copies > 1").select("key", "f")
+    twice = each.select("block", "o", "key").join(heads, "key").select("block", "o", F.col("f.doc_id").alias("fd"), F.col("f.print").alias("fp"), F.col("f.w").alias("fw"), F.col("f.s").alias("fs"))
+    # windows that follow each other in their firsts too
+    twice = twice.withColumn("r", F.col("o") - F.row_number().over(Window.partitionBy("block", "fd", "fp", F.col("fw") - F.col("o")).orderBy("o")))
+    parts = twice.groupBy("block", "fd", "fp", (F.col("fw") - F.col("o")).alias("shift"), "r").agg(F.min("o").alias("o1"), F.max("o").alias("o2"), F.min_by("fs", "o").alias("fs"))
+    parts = scratch.save(parts.drop("r"), "parts")
+    scratch.drop(blocks)
+    copy = ~F.expr("fd = doc_id AND fp = print AND shift = w")
+    of = found.select("block", "doc_id", "print", "w", "s", "e").join(parts, "block")
+    of = of.select("doc_id", "print", F.expr("w + o1").alias("w1"), F.expr("w + o2").alias("w2"), F.expr("s[o1]").cast("long").alias("s"), F.expr("e[o2]").cast("long").alias("e"), "fd", F.col("fs").cast("long").alias("fs"), copy.alias("copy"))
+    here = Window.partitionBy("doc_id", "print").orderBy("w1")
+    new = (F.col("w1") > F.lag("w2").over(here) + 1) | (F.col("copy") != F.lag("copy").over(here)) | (F.col("fd") != F.lag("fd").over(here))
+    runs = of.withColumn("new", F.coalesce(new, F.lit(True)).cast("long")).withColumn("run", F.sum("new").over(here))
+    out = runs.groupBy("doc_id", "print", "run").agg(F.min("s").alias("start"), F.max("e").alias("end"), (F.max("w2") - F.min("w1") + span).alias("n_words"), F.min("fd").alias("first_doc_id"), F.min_by("fs", "w1").alias("first_start"), F.first("copy").alias("removed"))
+    out = scratch.save(out.drop("run"), "spans")
+    scratch.drop(found, parts)
+    return out
+
+
+def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, **options: int) -> DataFrame:
+    """docs with all columns, removable paragraphs cut out of the texts (with their line feed where a whole line goes), then removable runs of span words out of what is left; a text of which nothing is left goes."""
     cuts = repeats(docs, id_col, text_col, **options).where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_cuts"))
-    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("_text"))
-    joined = packed.join(cuts, "doc_id", "left")
+    scratch = Scratch(docs.sparkSession, "strip")
+    docs = scratch.save(_cut(docs, cuts, _without, id_col, text_col), "stripped")
+    cuts = spans(docs, id_col, text_col, span).groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "end", "removed")).alias("_cuts"))
+    return _cut(docs, cuts, _outside, id_col, text_col)
+
+
+def _cut(docs: DataFrame, cuts: DataFrame, without: Callable, id_col: str, text_col: str) -> DataFrame:
+    names = docs.columns
+    on = [c for c in cuts.columns if c != "_cuts"]
+    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("_text"), F.xxhash64(docs[text_col]).alias("print"))
+    joined = packed.join(cuts, on, "left")
 
     @F.pandas_udf("string")
     def cleaned(text, spans):  # noqa: ANN001, ANN202
-        return text.combine(spans, lambda t, s: t if s is None else _without(t, s))
+        return text.combine(spans, lambda t, s: t if s is None else without(t, s))
 
     new = F.when(F.col("_cuts").isNull(), F.col("_text")).otherwise(cleaned("_text", "_cuts"))
     done = joined.withColumn("_new", new).where(F.col("_cuts").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
@@ -171,5 +312,24 @@ def _without(text: str, spans) -> str:  # noqa: ANN001
     return "".join([*out, text[at:]])
 
 
+def _outside(text: str, spans) -> str:  # noqa: ANN001
+    """text without removed spans but for what they share with others; where it closes up, the white space with more line feeds stays."""
+    gone = np.zeros(len(text) + 2, bool)
+    for removed in (True, False):
+        for x in spans:
+            if bool(x["removed"]) == removed:
+                gone[x["start"] + 1 : x["end"] + 1] = removed
+    edges = [0, *np.flatnonzero(gone[1:] != gone[:-1]).tolist(), len(text)]
+    out = text[: edges[1]]
+    for s, e in zip(edges[2::2], edges[3::2], strict=True):
+        left, right = out.rstrip(_BLANK), text[s:e].lstrip(_BLANK)
+        gaps = out[len(left) :], text[s : e - len(right)]
+        out = left + (max(*gaps, key=lambda g: (g.count("\n"), len(g) == 1)) or " " if left and right else "") + right
+    return out
+
+
 def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Near copies of paragraphs (first_start null) and runs of equal words (paragraph and first_paragraph null)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    near = repeats(docs).withColumn("first_start", F.lit(None).cast("long"))
+    return near.unionByName(spans(docs).drop("print"), allowMissingColumns=True)

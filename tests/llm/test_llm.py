@@ -152,6 +152,50 @@ def test_passages_against_brute_force(spark, docs):
     assert got == {(*u, *min(g)) for g in groups.values() if len(g) > 1 for u in g}
 
 
+def _hosts(n, seed):
+    rng = random.Random(seed)
+    return [[f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(20, 90))] for _ in range(n)]
+
+
+PASSAGE = [f"p{i}" for i in range(60)]
+
+
+@pytest.mark.parametrize("size", [50, 55, 60])
+def test_passages_in_mid_line(spark, size):
+    """A passage without sentence marks inside lines of unlike words."""
+    rows = [(i, " ".join([*a, *PASSAGE[:size], *b])) for i, (a, b) in enumerate(zip(_hosts(6, 1), _hosts(6, 2), strict=True))]
+    docs = spark.createDataFrame([*rows, (9, " ".join(_hosts(1, 3)[0]))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in passages.spans(docs).collect()}
+    assert {d: (rows[d][1][r["start"] : r["end"]].split(), r["n_words"], r["first_doc_id"], r["removed"]) for d, r in got.items()} == {d: (PASSAGE[:size], size, 0, d > 0) for d in range(6)}
+    assert all(r["first_start"] == got[0]["start"] for r in got.values())
+    left = {r["doc_id"]: r["text"] for r in passages.strip(docs).collect()}
+    assert left[0] == rows[0][1] and left[3] == rows[3][1].replace(" ".join(PASSAGE[:size]) + " ", "")
+
+
+def test_spans_against_brute_force(spark, docs, odd):
+    for table in (docs, odd):
+        rows = [r for r in table.select("doc_id", "text").distinct().collect() if r["doc_id"] is not None]
+        places = collections.defaultdict(set)
+        low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+        for d, t in rows:
+            w = [x.translate(low) for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
+            for i in range(len(w) - 49):
+                places[tuple(w[i : i + 50])].add((d, t, i))
+        want = collections.defaultdict(set)
+        for where in places.values():
+            if len(where) > 1:
+                for d, t, i in where:
+                    want[d, t] |= set(range(i, i + 50))
+        got = collections.defaultdict(set)
+        for r in passages.spans(table).collect():
+            for d, t in rows:
+                if d == r["doc_id"] and t and r["end"] <= len(t):
+                    a = len(re.findall(r"[^\x20\x09-\x0D]+", t[: r["start"]]))
+                    if len(re.findall(r"[^\x20\x09-\x0D]+", t[r["start"] : r["end"]])) == r["n_words"]:
+                        got[d, t] |= set(range(a, a + r["n_words"]))
+        assert got == want
+
+
 def test_paragraphs_cover_the_text():
     t = "A b. C d!  E f\n\ng h. "
     assert "".join(t[s:e] for s, e in passages.paragraphs(t)) == t.replace("\n", "")
