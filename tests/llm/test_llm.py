@@ -172,6 +172,19 @@ def test_passages_in_mid_line(spark, size):
     assert left[0] == rows[0][1] and left[3] == rows[3][1].replace(" ".join(PASSAGE[:size]) + " ", "")
 
 
+def test_passages_in_short_lines(spark):
+    """60 words in lines of 8, 7 and 11 words."""
+    rows = []
+    for i, (n, a, b) in enumerate(zip([8, 7, 11], _hosts(3, 4), _hosts(3, 5), strict=True)):
+        lines = [" ".join(PASSAGE[k : k + n]) for k in range(0, 60, n)]
+        rows.append((i, "\n".join([" ".join(a), *lines, " ".join(b)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: rows[r["doc_id"]][1][r["start"] : r["end"]].split() for r in passages.spans(docs).collect()}
+    assert got == {i: PASSAGE for i in range(3)}
+    left = {r["doc_id"]: r["text"] for r in passages.strip(docs).collect()}
+    assert left[0] == rows[0][1] and left[1].split("\n") == [rows[1][1].split("\n")[k] for k in (0, -1)]
+
+
 def test_spans_against_brute_force(spark, docs, odd):
     for table in (docs, odd):
         rows = [r for r in table.select("doc_id", "text").distinct().collect() if r["doc_id"] is not None]
