@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from ._store import Scratch
 from ._text import lean, shingle_rows
 
+EDGES = 200_000  # edges of a task; under 100 MB in a Python worker
+PAIRS = 2_000  # comparisons of a task
 
-CHUNK = 200_000  # nodes held by a task; under 100 MB in a Python worker
 
-
-def _forest(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v) -> for about chunk nodes at a time, each node and the smallest one it reaches there, loops left out, by union-find."""
+def _forest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) -> each node and the smallest one it reaches in this task, loops left out, by union-find; starts anew beyond most nodes."""
     above: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -35,36 +35,39 @@ def _forest(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Record
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             low, high = sorted((root(u), root(v)))
             above[high] = low
-        if len(above) >= chunk:
-            yield out()
+            if len(above) > most:
+                yield out()
     yield out()
 
 
-def components(edges: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, most: int, per_task: int = EDGES) -> DataFrame:
     """(node, component) for each node of edges (a, b); component is the smallest node reachable.
 
-    Each round first merges the edges of each input partition by union-find, in bounded chunks,
-    then contracts across partitions by a large star and a small star, joins and partial
-    aggregations; no node's neighbours are ever gathered in a list.  It ends when each node
-    names one root.  Rounds are alike at every size.  Nulls and loops are ignored.
+    most: a bound of the number of edges; as many tasks as hold per_task of them merge their
+    edges by union-find.  If there is one task, it has merged all.  Else a large star and a small
+    star, which are joins and partial aggregations, contract across tasks, and the rounds go on
+    until each node names one root; no node's neighbours are ever gathered.  Nulls and loops are
+    ignored.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     last = None
     while True:
-        e = scratch.save(e.mapInArrow(lean(partial(_forest, chunk=chunk)), "u long, v long"), "edges")
-        scratch.drop(last)
+        tasks = max(1, -(-most // per_task))
+        e = scratch.save(e.coalesce(tasks).mapInArrow(lean(partial(_forest, most=2 * per_task)), "u long, v long"), "edges")
+        if last is not None:
+            scratch.drop(last)
         roots = e.select(F.col("u").alias("node"), "v").unionAll(e.select(F.col("v").alias("node"), "v")).groupBy("node").agg(F.min("v").alias("component"), F.max("v").alias("other"))
-        roots = scratch.save(roots, "roots")
-        if roots.where("component <> other").isEmpty():
-            scratch.drop(e)
-            return roots.select("node", "component")
-        scratch.drop(roots)
+        roots = scratch.save(roots, "roots", 2 * e.rows_)
+        if tasks == 1 or roots.where("component <> other").isEmpty():
+            out = roots.select("node", "component")
+            out.rows_ = roots.rows_
+            return out
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        last, e = e, small
+        most, last, e = 2 * e.rows_, e, small
 
 
 def verifier(texts: DataFrame, shingle: int, percent: int, sketch: tuple[int, float] | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -100,13 +103,14 @@ def verifier(texts: DataFrame, shingle: int, percent: int, sketch: tuple[int, fl
     return verify
 
 
-def exact_lists(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def exact_lists(texts: DataFrame, shingle: int, percent: int, single: bool) -> DataFrame:
     """key, node, n, at: inverted lists of full shingle sets in which every linked pair meets.
 
     Values stand in one order, rarest first.  Of two sets that are linked, the first common value
     is among the first n - ceil(percent * n / 100) + 1 of either; a set with many values of its
     own has few or none there, so it stands in no long list.  at is a value's place, by which
-    ``_meets`` bounds the intersection.  A node with several texts has all its values, n null.
+    ``_meets`` bounds the intersection.  A node with several texts (possible if not single) has
+    all its values, n null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,67 +125,60 @@ def exact_lists(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     shared = values.groupBy("key").agg(F.count("*").alias("found")).where("found > 1")
     here = Window.partitionBy("node")
     placed = values.join(shared, "key").withColumn("at", F.col("n") - F.count("*").over(here) + F.row_number().over(here.orderBy("found", "key")))
-    several = texts.groupBy("node").agg(F.count("*").alias("texts")).where("texts > 1")
-    if several.isEmpty():
+    if single:
         placed = placed.withColumn("texts", F.lit(None).cast("long"))
     else:
-        placed = placed.join(several, "node", "left")
+        placed = placed.join(texts.groupBy("node").agg(F.count("*").alias("texts")).where("texts > 1"), "node", "left")
     placed = placed.where(f"texts IS NOT NULL OR at <= n - ceil({percent} * n / 100D - 1e-9D) + 1")
     return placed.select("key", "node", F.when(F.col("texts").isNull(), F.col("n")).alias("n"), "at")
 
 
-def link(postings: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: Scratch, given: DataFrame | None = None, sketch: tuple[int, float] | None = None, grow: int = 4) -> DataFrame:
+def link(postings: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: Scratch, given: DataFrame | None = None, sketch: tuple[int, float] | None = None, single: bool = True, pivots: int = 16, grow: int = 16) -> DataFrame:
     """Components (node, component) of all links between nodes that share a key, and of the given links (a, b).
 
-    postings: key, node, weight (of the node).  texts: node, text.  Nodes are linked if
-    100 * intersection >= percent * union of their shingle sets.
+    postings: key, node, weight (of the node), as Scratch saved it.  texts: node, text, one a
+    node if single.  Nodes are linked if 100 * intersection >= percent * union of their shingle
+    sets.
 
     A list is not paired with itself.  First each node is compared with one pivot only: of its
     lists' heaviest nodes the one that most of them name.  Nodes of lists that are then all in
     one component are done.  The others are listed anew by their full sets (``exact_lists``),
-    which keeps apart those that can't be linked.  In each of these lists, pivots are compared
-    with the nodes of other components and leave the list; their number grows by a factor each
-    round, until one component or one node is left.  They are taken from the list's largest
-    components for three rounds, as most nodes join these, and then from its smallest.
-    So no link between components is missed, and a group of m near copies costs about m
-    comparisons.
+    which keeps apart those that can't be linked.  In each of these lists, pivots in a hashed
+    order, so most of them from its largest component, are compared with the nodes of other
+    components and leave the list; their number grows by a factor each round, until one
+    component or one node is left.  So no link between components is missed, and a group of m
+    near copies costs about m comparisons.
     """
     verify = verifier(texts, shingle, percent, sketch)
-    first = scratch.save(postings, "lists")
-    heads = first.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("p"))
-    near = first.join(heads, "key").where("node <> p.node").groupBy("node", F.col("p.node").alias("p")).agg(F.count("*").alias("shared"))
-    seed = near.groupBy("node").agg(F.max(F.struct("shared", "p")).alias("best")).select(F.col("node").alias("a"), F.col("best.p").alias("b"))
-    tested = scratch.save(seed, "pairs")
+    heads = postings.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("p"))
+    near = postings.join(heads, "key").where("node <> p.node").select("node", F.col("p.node").alias("p"))
+    # both aggregations by the shuffle on node
+    seed = near.repartition("node").groupBy("node", "p").agg(F.count("*").alias("shared")).groupBy("node").agg(F.max(F.struct("shared", "p")).alias("best"))
+    tested = scratch.save(seed.select(F.least("node", "best.p").alias("a"), F.greatest("node", "best.p").alias("b")), "pairs", postings.rows_)
     links = verify(tested)
-    links = scratch.save(links if given is None else links.unionAll(given), "links")
-    found = components(links, scratch)
+    links = scratch.save(links if given is None else links.unionAll(given), "links", tested.rows_, PAIRS)
+    found = components(links, scratch, links.rows_)
 
-    open_nodes = _open(first, found).select("node").distinct()
-    left = texts.join(open_nodes, "node", "left_semi")
+    open_nodes = _open(postings, found).select("node").distinct()
+    left = scratch.save(texts.join(open_nodes, "node", "left_semi"), "texts", texts.rows_, 10 * PAIRS)
+    left = scratch.save(exact_lists(left, shingle, percent, single), "lists")
     scratch.drop()
-    left = scratch.save(exact_lists(left, shingle, percent), "lists")
-    scratch.drop(first)
-    pivots, turn = 1, 0
+    turn = 0
     while True:
-        now = scratch.save(_open(left, found), "open")
-        if now.isEmpty():
-            scratch.drop(left, now)
+        now = scratch.save(_open(left, found), "open", left.rows_)
+        if not now.rows_:
             break
-        sizes = now.groupBy("key", "c").agg(F.count("*").alias("members"))
-        order = Window.partitionBy("key").orderBy(F.desc("members") if turn < 3 else F.asc("members"), "c", "node")
-        heads = now.join(sizes, ["key", "c"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
-        heads = scratch.save(heads.select("key", F.col("node").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("at").alias("pat"), "r"), "pivots")
-        own = heads.select("key", F.col("p").alias("node"), F.col("r").alias("own"))
-        marked = now.join(own, ["key", "node"], "left")
-        pairs = marked.join(heads, "key").where("c <> pc AND (own IS NULL OR own < r)").where(_meets(percent)).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = scratch.save(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
-        new = scratch.save(verify(fresh), "links")
-        old_left, left = left, scratch.save(marked.where("own IS NULL").select("key", "node", "n", "at"), "lists")
-        if not new.isEmpty():
-            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(new), scratch)
+        order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        heads = now.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
+        heads = scratch.save(heads.select("key", F.col("node").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("at").alias("pat")), "pivots", now.rows_)
+        pairs = now.join(heads, "key").where("c <> pc").where(_meets(percent)).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        fresh = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs", pivots * now.rows_)
+        new = scratch.save(verify(fresh), "links", fresh.rows_, PAIRS)
+        left = now.join(heads.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "at")
+        left.rows_ = now.rows_
+        if new.rows_:
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(new), scratch, found.rows_ + new.rows_)
         tested = tested.unionAll(fresh)
-        scratch.drop(old_left, now)
         pivots, turn = pivots * grow, turn + 1
     return found
 

@@ -6,7 +6,10 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+TASK = 200_000  # rows that a task writes, where a bound of the rows is known
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,11 +31,18 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
+    def save(self, df: DataFrame, name: str, most: int | None = None, per_task: int = TASK) -> DataFrame:
+        """df, written and read again, with its number of rows (0 exactly if there are none) as ``rows_``.
+
+        most: a bound of its rows; so many tasks write it that each has per_task of them, so a
+        small table doesn't become hundreds of files, whatever the number of shuffle partitions.
+        """
+        path, seen = self.path(name), Observation()
+        if most is not None:
+            df = df.coalesce(max(1, -(-most // per_task)))
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
+        out._scratch_path, out.rows_ = path, seen.get["n"]
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:

@@ -22,6 +22,7 @@ _STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) | U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 CHUNK = 1_000_000
+BATCH = 2_000_000
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -100,12 +101,22 @@ def shingle_rows(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
             at += c
 
 
+def halved(batch: pa.RecordBatch, size: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most about size bytes, one row at least; nothing is copied."""
+    if batch.num_rows < 2 or batch.nbytes <= size:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from halved(batch.slice(0, half), size)
+        yield from halved(batch.slice(half), size)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run for mapInArrow; at the task's end the worker, which lives on, gives its memory back."""
+    """run for mapInArrow, over batches of bounded size whatever the session sends; at the task's end the worker, which lives on, gives its memory back."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(part for batch in batches for part in halved(batch))
         finally:
             release()
 

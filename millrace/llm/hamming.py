@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from ..session import ship
 from ._store import Scratch
 from ._text import lean
-from .minhash import small_batches
 
 BITS = 64
 SEGMENTS = 4
@@ -136,7 +135,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = BITS, segmen
                 at, place, apart = nearest(c.view(np.uint64), n, q.view(np.uint64), k, bits, segments)
                 yield pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(c[place]), pa.array(n[place]), pa.array(apart)], ["q", "code", "n", "distance"])
 
-    small_batches(spark, 8)
     kept = scratch.save(work.select("code", "n", "q").mapInArrow(lean(look), "q long, code long, n long, distance long"), "met")
     # codes at the distance where k rows are reached all stay, as ids decide between them
     totals = kept.groupBy("q", "distance").agg(F.sum("n").alias("n"))

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from ..session import ship
 from ._store import Scratch
 from ._text import _STEP, lean, mix, slices, span_hash, words
-from .minhash import small_batches
 
 BUCKETS = 10_000
 LABELLED = 20_000
@@ -95,7 +94,6 @@ def resample(docs: DataFrame, targets: list[int], share: float, seed: int = 0, i
     """
     spark = docs.sparkSession
     ship(spark)
-    small_batches(spark)
     scratch = Scratch(spark, "importance")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ratio = fit(docs, targets, buckets)

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from ..session import ship
 from ._store import Scratch
 from ._text import _BASE, _BYTE, U, lean, mix
-from .minhash import small_batches
 
 COMMON = 100_000
 ROUNDS = 3
@@ -212,7 +211,6 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     ship(spark)
-    small_batches(spark)
     scratch = Scratch(spark, "lattice")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counted = scratch.save(word_counts(docs), "counts")

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ._text import lean
-from .minhash import small_batches
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -140,7 +139,6 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
     Null and empty texts have no words.  Ids may be null or repeat; each row stands by itself.
     """
     ship(docs.sparkSession)
-    small_batches(docs.sparkSession)
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
     place = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))

@@ -41,12 +41,6 @@ def safe_share(threshold: float, k: int, miss: float = MISS) -> float:
     return 1.0
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts go to Python at most this many rows at a time, so a worker's memory stays bounded."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, k: int = K) -> DataFrame:
     """id, n_shingles (distinct), print (of the whole set), sketch (its k smallest hashes)."""
 
@@ -77,40 +71,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     ship(spark)
-    small_batches(spark)
     scratch = Scratch(spark, "minhash")
     share = safe_share(percent / 100, k)
     rows = scratch.save(sketches(docs, id_col, text_col, shingle, k), "sketches")
     live = rows.where("id IS NOT NULL AND n_shingles > 0")
-    classes = live.groupBy("print").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n"))
-    classes = scratch.save(classes, "classes")
+    # equal sets are one class; its smallest id stands for it
+    classes = live.groupBy("print").agg(F.min(F.struct("id", "n_shingles", "sketch")).alias("f"))
+    classes = scratch.save(classes.select("print", F.col("f.id").alias("node"), F.col("f.n_shingles").alias("n"), F.col("f.sketch").alias("sketch")), "classes", rows.rows_, 20_000)
+    repeated = scratch.save(live.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1"), "repeated", rows.rows_)
+    single = not repeated.rows_
 
-    values = live.select(F.col("id").alias("node"), F.explode("sketch").alias("key"))
+    values = classes.select("node", "n", F.explode("sketch").alias("key"))
     common = values.groupBy("key").agg(F.count("*").alias("found")).where("found > 1")
-    nodes = classes.groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("texts"))
     # a share of s is at least ceil(share * s) values; of these, each that one document alone has takes a place in the prefix
-    listed = values.join(common, "key").join(nodes, "node")
+    listed = values.join(common, "key")
     here = Window.partitionBy("node")
     listed = listed.withColumn("s", F.least("n", F.lit(k))).withColumn("place", F.row_number().over(here.orderBy("found", "key"))).withColumn("many", F.count("*").over(here)).withColumn("weight", F.sum("found").over(here))
-    prefix = listed.where(f"texts > 1 OR place <= s - ceil({share}D * s) + 1 - (s - many)")
-    postings = scratch.save(prefix.select("key", "node", "weight"), "postings")
+    given = None
+    if not single:  # rows of one id are one node
+        owners = live.join(classes.select("print", "node"), "print").select("id", "node")
+        several = owners.groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+        given = owners.join(several, "id").where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
+        listed = listed.join(repeated.withColumnRenamed("id", "node"), "node", "left")
+    prefix = listed.where(("" if single else "rows IS NOT NULL OR ") + f"place <= s - ceil({share}D * s) + 1 - (s - many)")
+    postings = scratch.save(prefix.select("key", "node", "weight"), "postings", classes.rows_ * k)
 
-    scratch.drop()
-    owners = live.join(classes, "print").select("id", "node")
-    several = owners.groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    given = owners.join(several, "id").where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(postings.select("node").distinct(), "node", "left_semi")
-    texts = scratch.save(texts, "texts")
+    texts = scratch.save(texts, "texts", classes.rows_ if single else None, 5_000)
     scratch.drop()
-    found = link(postings, texts, shingle, percent, scratch, given, (k, share))
+    found = link(postings, texts, shingle, percent, scratch, given, (k, share), single)
 
-    scratch.drop(postings, texts)
     out = rows.select("id", "n_shingles", "print").join(classes.select("print", "node"), "print", "left").join(found, "node", "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "node", "id"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), (F.coalesce(F.col("id") == component, F.lit(True))).alias("kept"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near duplicates over 3-word shingles at 0.85; odd input as in ``near_duplicates``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)
 
 
@@ -137,8 +134,9 @@ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, k.m AS component_id, s.doc_id =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """docs with all columns, one row for each group of near duplicates (that of the smallest id); rows with a null id stay."""
     found = Scratch(docs.sparkSession, "near-duplicates").save(near_duplicates(docs, id_col, text_col, **options), "groups")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    gone = gone.select(F.col("doc_id").alias(next(f"_gone{i}" for i in range(len(docs.columns) + 1) if f"_gone{i}" not in docs.columns)))
+    left = docs.join(gone, docs[id_col].cast("long") == gone[gone.columns[0]], "left_anti")
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
     return left.where(F.col(id_col).isNull()).unionByName(left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))

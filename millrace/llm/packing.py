@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from ..session import ship
 from ._text import lean
 from ._tokens import encoder, vocabulary
-from .minhash import small_batches
 
 CAPACITY = 1024
 BLOCK = 64
@@ -105,7 +104,6 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, cut:
     by itself.  sequence_id is unique; sequences follow the input partitions.  No rows, no pieces.
     """
     ship(docs.sparkSession)
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, sequence = encoder(path), TaskContext.get().partitionId() << 38

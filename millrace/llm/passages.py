@@ -25,7 +25,6 @@ from ..session import ship
 from ._cluster import link
 from ._store import Scratch
 from ._text import _STEP, U, lean, mix, slices, span_hash, words
-from .minhash import small_batches
 
 LEAST = 16
 SPAN = 50
@@ -89,46 +88,43 @@ def signatures(texts: list[str], bands: int, rows: int) -> tuple[list[bytes], np
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least: int = LEAST) -> DataFrame:
-    """One row per paragraph that has a copy or near copy: doc_id, paragraph (number), start, end (code points), n_words, first_doc_id, first_paragraph, removed.
+    """One row per paragraph that has a copy or near copy: doc_id, print (of the text), paragraph (number), start, end (code points), n_words, first_doc_id, first_paragraph, removed.
 
     Paragraphs of ``least`` words or more whose 5-word shingle sets have a Jaccard similarity of
-    percent or more are linked; the first of a component by (doc_id, paragraph) stays.  Null or
-    blank texts have no paragraphs; rows with a null id are not compared.  Rows that share an
-    id count as one document.
+    percent or more are linked; the first of a component by (doc_id, print, paragraph) stays.
+    Null or blank texts have no paragraphs; rows with a null id are not compared.  Rows that
+    share an id are told apart by their texts' prints; rows equal in both are one.
     """
     spark = docs.sparkSession
     ship(spark)
-    small_batches(spark)
     scratch = Scratch(spark, "passages")
     bands, rows = tune(percent / 100)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             texts = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for n, (s, e) in enumerate(paragraphs(text or "")):
                     part = text[s:e]
                     size = len(part.encode().split())
                     if size >= max(least, SHINGLE):
-                        out.append((doc, n, s, e, size))
+                        out.append((doc, mark, n, s, e, size))
                         texts.append(part)
             prints, keys = signatures(texts, bands, rows)
-            cols = list(zip(*out, strict=True)) or [()] * 5
+            cols = list(zip(*out, strict=True)) or [()] * 6
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(prints, pa.binary()), lists], ["doc_id", "paragraph", "start", "end", "n_words", "print", "bands"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(prints, pa.binary()), lists], ["doc_id", "print", "paragraph", "start", "end", "n_words", "words", "bands"])
 
-    found = scratch.save(docs.mapInArrow(lean(cut), "doc_id long, paragraph long, start long, end long, n_words long, print binary, bands array<long>"), "paragraphs")
+    found = scratch.save(docs.mapInArrow(lean(cut), "doc_id long, print long, paragraph long, start long, end long, n_words long, words binary, bands array<long>"), "paragraphs")
     # equal word sequences are one class; its first paragraph stands for it
-    classes = found.groupBy("print").agg(F.min(F.struct("doc_id", "paragraph", "n_words", "start", "end", "bands")).alias("f"), F.count("*").alias("copies"))
-    classes = scratch.save(classes.select("print", "copies", "f.*").withColumn("node", F.monotonically_increasing_id()), "classes")
-    scratch.drop()
+    classes = found.groupBy("words").agg(F.min(F.struct("doc_id", "print", "paragraph", "start", "end", "bands")).alias("f"), F.count("*").alias("copies"))
+    classes = scratch.save(classes.select("words", "copies", "f.*").withColumn("node", F.monotonically_increasing_id()), "classes", found.rows_, 50_000)
     listed = classes.select("node", F.explode("bands").alias("key"), F.col("copies").alias("weight"))
     shared = listed.groupBy("key").agg(F.count("*").alias("found")).where("found > 1").select("key")
-    postings = scratch.save(listed.join(shared, "key").select("key", "node", "weight"), "postings")
-    scratch.drop()
-    wanted = classes.join(postings.select("node").distinct(), "node").select("node", "doc_id", "print", "start", "end", "paragraph")
+    postings = scratch.save(listed.join(shared, "key").select("key", "node", "weight"), "postings", classes.rows_ * bands)
+    wanted = classes.join(postings.select("node").distinct(), "node").select("node", "doc_id", "print", "start", "end")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,19 +134,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
                 texts += [(text or "")[s["start"] : s["end"]] for s in spans]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["node", "text"])
 
-    spans = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("node", "start", "end")).alias("spans"))
-    texts = scratch.save(docs.join(spans, "doc_id").select("text", "spans").mapInArrow(lean(pick), "node long, text string"), "texts")
+    spans = wanted.groupBy("doc_id", "print").agg(F.collect_list(F.struct("node", "start", "end")).alias("spans"))
+    texts = scratch.save(docs.join(spans, ["doc_id", "print"]).select("text", "spans").mapInArrow(lean(pick), "node long, text string"), "texts", classes.rows_, 20_000)
     scratch.drop()
     linked = link(postings, texts, SHINGLE, percent, scratch)
 
-    scratch.drop(postings, texts)
-    of = classes.select("print", "copies", "node", "doc_id", "paragraph").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = of.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.sum("copies").alias("members")).where("members > 1")
-    of = of.select("print", "component").join(heads, "component").select("print", "first")
-    out = found.select("doc_id", "paragraph", "start", "end", "n_words", "print").join(of, "print")
-    out = out.select("doc_id", "paragraph", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), F.expr("doc_id <> first.doc_id OR paragraph <> first.paragraph").alias("removed"))
-    out = scratch.save(out, "repeats")
-    scratch.drop(found, classes)
+    of = classes.select("words", "copies", "node", "doc_id", "print", "paragraph").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = of.groupBy("component").agg(F.min(F.struct("doc_id", "print", "paragraph")).alias("first"), F.sum("copies").alias("members")).where("members > 1")
+    of = of.select("words", "component").join(heads, "component").select("words", "first")
+    out = found.select("doc_id", "print", "paragraph", "start", "end", "n_words", "words").join(of, "words")
+    removed = F.expr("NOT (doc_id = first.doc_id AND print = first.print AND paragraph = first.paragraph)")
+    out = out.select("doc_id", "print", "paragraph", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), removed.alias("removed"))
+    out = scratch.save(out, "repeats", found.rows_)
+    scratch.drop(found, classes, postings, texts)
     return out
 
 
@@ -198,13 +194,12 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     """
     spark = docs.sparkSession
     ship(spark)
-    small_batches(spark)
     scratch = Scratch(spark, "spans")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print")).where("doc_id IS NOT NULL")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for lo, _, data, off in slices(batch.column(1)):
                 start, end, counts = words(data, off)
                 if len(start) < span:
@@ -214,11 +209,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
                 around = np.full(len(least) + 2 * room, ~U(0))
                 around[room : room + len(least)] = np.where(inside, ~least, ~U(0))
                 chosen = np.flatnonzero(~lowest(around, room + 1) == g)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row[chosen]], pa.int64()), pa.array(g[chosen].view(np.int64))], ["doc_id", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row[chosen]], pa.int64()), pa.array(prints[lo + row[chosen]], pa.int64()), pa.array(g[chosen].view(np.int64))], ["doc_id", "print", "key"])
 
-    listed = scratch.save(docs.select("doc_id", "text").mapInArrow(lean(anchors), "doc_id long, key long"), "anchors")
+    listed = scratch.save(docs.mapInArrow(lean(anchors), "doc_id long, print long, key long"), "anchors")
     shared = listed.groupBy("key").agg(F.count("*").alias("found")).where("found > 1").select("key")
-    keys = listed.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    keys = listed.join(shared, "key").groupBy("doc_id", "print").agg(F.collect_set("key").alias("keys"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +246,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
                 cols = [mix(whole_hash + sizes.astype(np.uint64)).view(np.int64), ids[lo + row[of]], prints[lo + row[of]], of - first[row[of]]]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *(pa.ListArray.from_arrays(edges, pa.array(c)) for c in lists)], ["block", "doc_id", "print", "w", "h", "s", "e"])
 
-    found = docs.join(keys, "doc_id").select("doc_id", "text", "print", "keys").mapInArrow(lean(whole), "block long, doc_id long, print long, w long, h array<long>, s array<int>, e array<int>")
+    found = docs.join(keys, ["doc_id", "print"]).select("doc_id", "text", "print", "keys").mapInArrow(lean(whole), "block long, doc_id long, print long, w long, h array<long>, s array<int>, e array<int>")
     found = scratch.save(found, "blocks")
     scratch.drop(listed)
     # equal blocks have equal windows; the first stands for all
@@ -281,7 +276,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
 
 def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, **options: int) -> DataFrame:
     """docs with all columns, removable paragraphs cut out of the texts (with their line feed where a whole line goes), then removable runs of span words out of what is left; a text of which nothing is left goes."""
-    cuts = repeats(docs, id_col, text_col, **options).where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_cuts"))
+    cuts = repeats(docs, id_col, text_col, **options).where("removed").groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "end")).alias("_cuts"))
     scratch = Scratch(docs.sparkSession, "strip")
     docs = scratch.save(_cut(docs, cuts, _without, id_col, text_col), "stripped")
     cuts = spans(docs, id_col, text_col, span).groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "end", "removed")).alias("_cuts"))
@@ -331,5 +326,5 @@ def _outside(text: str, spans) -> str:  # noqa: ANN001
 def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies of paragraphs (first_start null) and runs of equal words (paragraph and first_paragraph null)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    near = repeats(docs).withColumn("first_start", F.lit(None).cast("long"))
+    near = repeats(docs).drop("print").withColumn("first_start", F.lit(None).cast("long"))
     return near.unionByName(spans(docs).drop("print"), allowMissingColumns=True)

@@ -24,7 +24,6 @@ from ..session import ship
 from ._store import Scratch
 from ._text import lean
 from ._tokens import encoder, vocabulary
-from .minhash import small_batches
 
 MAGIC = b"MRTOKEN1"
 HEADER = "<8sB16sQQ"
@@ -77,7 +76,6 @@ def write_ids(docs: DataFrame, target: str, path: str, end_id: int, id_col: str
     """
     spark = docs.sparkSession
     ship(spark)
-    small_batches(spark)
     scratch = Scratch(spark, "tokens")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dictionary = train(docs, path, end_id, width)
@@ -122,7 +120,6 @@ def write_ids(docs: DataFrame, target: str, path: str, end_id: int, id_col: str
 def read_ids(spark: SparkSession, source: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32 bit) of each document in the files."""
     ship(spark)
-    small_batches(spark)
     found = spark.read.format("binaryFile").load(f"{source}/dictionary").select("content").collect()
     dictionary = max((bytes(r[0])[:-1] for r in found), key=len)
     mark = hashlib.blake2b(dictionary, digest_size=16).digest()

@@ -69,11 +69,11 @@ def test_odd_and_empty_tables(spark, odd, name):
         assert empty.columns == odd.columns
 
 
-@pytest.mark.parametrize("chunk", [1, 200_000])
-def test_components_against_union_find(spark, chunk):
+@pytest.mark.parametrize("per_task", [9, 40, 200_000])
+def test_components_against_union_find(spark, per_task):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(60)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), chunk).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(12), Scratch(spark, "t"), len(edges), per_task).collect()}
     parent = {x: x for e in edges for x in e}
 
     def find(x):
@@ -209,6 +209,14 @@ def test_spans_against_brute_force(spark, docs, odd):
         assert got == want
 
 
+def test_repeated_ids_keep_their_own_texts(spark):
+    """Two rows of one id: only the one that repeats another document's paragraph loses it."""
+    line = " ".join(f"a{i}" for i in range(30))
+    rows = [(1, f"{line}\n{_hosts(1, 6)[0][0]}"), (2, f"{line}\nown words here"), (2, " ".join(_hosts(1, 7)[0])), (2, "short")]
+    got = sorted(r["text"] for r in passages.strip(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([rows[0][1], "own words here", rows[2][1], "short"])
+
+
 def test_paragraphs_cover_the_text():
     t = "A b. C d!  E f\n\ng h. "
     assert "".join(t[s:e] for s, e in passages.paragraphs(t)) == t.replace("\n", "")
