@@ -230,24 +230,27 @@ def test_encoder_equals_library():
             assert got.tolist() == [*want, 7]
 
 
-@pytest.mark.parametrize("cut", [True, False])
-def test_windows(cut):
+def test_windows():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 100) for _ in range(200)]
-    found = packing.windows(sizes, 128, cut)
-    parts = collections.defaultdict(list)
-    for w in found:
-        assert sum(n for _, _, n in w) <= 128
-        for i, s, n in w:
-            parts[i].append((s, n))
-    for i, size in enumerate(sizes):
-        at = 0
-        for s, n in sorted(parts[i]):
-            assert s == at
-            at += n
-        assert at == size
-    if cut:
-        assert len(found) == -(-sum(sizes) // 128)
+    found = packing.windows(sizes, 128)
+    assert sorted(i for w in found for i in w) == list(range(200))
+    assert all(sum(sizes[i] for i in w) <= 128 for w in found)
+    assert len(found) <= 1.1 * sum(sizes) / 128
+    with pytest.raises(ValueError):
+        packing.windows([129], 128)
+
+
+def test_sequences(spark, docs):
+    """No gap, no overlap, no sequence over the capacity, digests of what was stored, little padding."""
+    rows = packing.pack(docs.coalesce(1), vocabulary("byte_bpe_50k.json"), 0, capacity=256, piece=64).collect()
+    at = collections.Counter()
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == at[r["sequence_id"]] and r["length"] > 0 and len(r["ids"]) == 4 * r["length"]
+        at[r["sequence_id"]] += r["length"]
+    assert max(at.values()) <= 256 and sum(at.values()) > 0.95 * 256 * len(at)
+    totals = {r["doc_id"]: r["doc_tokens"] for r in rows}
+    assert sum(totals.values()) == sum(at.values())
 
 
 def test_difference_is_near_equal():
@@ -276,6 +279,18 @@ def test_pack_and_token_files_round_trip(spark, docs, tmp_path):
         at += len(want)
 
 
+def test_token_files_keep_all_bytes_and_order(spark, tmp_path):
+    blobs = [(bytes([i, 255 - i, 10, 13, 0]) * 3,) for i in range(256)]
+    token_files._write(spark.createDataFrame(blobs, "b binary").coalesce(1), f"file://{tmp_path}/raw")
+    got = spark.read.format("binaryFile").load(f"file://{tmp_path}/raw").first()["content"]
+    assert bytes(got) == b"".join(b + b"\n" for b, in blobs)
+    rows = [(n, n * 10 + i, i, 1) for n in (5, 100_000, 99_999) for i in range(2)]  # by number, not by name
+    found = token_files.starts(spark.createDataFrame(rows, "part long, doc_id long, start long, n_tokens long")).orderBy("doc_id").collect()
+    assert [r["start"] for r in found] == list(range(6))
+    with pytest.raises(Exception, match="doesn't fit"):
+        token_files.write_ids(spark.createDataFrame([(1, "word")], "doc_id long, text string"), f"file://{tmp_path}/w", vocabulary("word_bpe_49k.json"), 1, width=1)
+
+
 def test_token_files_of_odd_tables(spark, odd, tmp_path):
     for n, df in enumerate((odd, odd.limit(0))):
         target = f"file://{tmp_path}/{n}"
@@ -286,8 +301,27 @@ def test_token_files_of_odd_tables(spark, odd, tmp_path):
 
 def test_flow_prefers_first_uses_and_fills_quotas():
     got = mixing.flow([100, 50, 10], [[0], [0, 1], [1]], [120, 60], [0, 1])
-    assert [sum(g[j] for g in got) for j in (0, 1)] == [120, 60]
-    assert sum(max(0, sum(g) - s) for g, s in zip(got, [100, 50, 10], strict=True)) == 20  # only what is wanted beyond all sizes is repeated
+    assert [sum(g.get(j, 0) for g in got) for j in (0, 1)] == [120, 60]
+    assert sum(max(0, sum(g.values()) - s) for g, s in zip(got, [100, 50, 10], strict=True)) == 20  # only what is wanted beyond all sizes is repeated
+
+
+def test_flow_against_brute_force():
+    """Flow and cost equal those of cheapest augmenting paths, found token by token."""
+    rng = random.Random(8)
+    for _ in range(60):
+        n, m = rng.randrange(1, 6), rng.randrange(1, 4)
+        sizes = [rng.randrange(0, 5) for _ in range(n)]
+        members = [sorted(rng.sample(range(m), rng.randrange(1, m + 1))) for _ in range(n)]
+        wanted = [rng.randrange(0, 9) for _ in range(m)]
+        got = mixing.flow(sizes, members, wanted, [0, 1])
+        for i, g in enumerate(got):
+            assert sum(g.values()) <= 2 * sizes[i] and set(g) <= set(members[i]) and min(g.values(), default=0) >= 0
+        assert all(sum(g.get(j, 0) for g in got) <= w for j, w in enumerate(wanted))
+        best = []
+        for uses in (1, 2):  # most tokens that so many uses can bring, over all sets of sources
+            best.append(min(sum(wanted[j] for j in range(m) if not (cut >> j) & 1) + sum(uses * s for s, own in zip(sizes, members, strict=True) if any((cut >> j) & 1 for j in own)) for cut in range(1 << m)))
+        assert sum(sum(g.values()) for g in got) == best[1]
+        assert sum(max(0, sum(g.values()) - s) for g, s in zip(got, sizes, strict=True)) == best[1] - best[0]
 
 
 def test_mix_meets_targets_with_overlapping_sources(spark):
@@ -374,6 +408,22 @@ def test_hamming_odd_rows(spark):
     assert hamming.search(df.limit(0), df.limit(0), 3).count() == 0
 
 
+def test_hamming_compares_what_coverage_asks_for():
+    """Over clustered codes few are compared; over random ones, where the k nearest are far, still not all."""
+    rng = np.random.default_rng(3)
+    heads = rng.integers(0, 1 << 63, 200, np.uint64)
+    near = np.unique(np.repeat(heads, 20) ^ (np.uint64(1) << rng.integers(0, 64, 4000, np.uint64)))
+    for codes, most in ((near, 0.02), (np.unique(rng.integers(0, 1 << 64, 4000, np.uint64)), 0.6)):
+        index = hamming.Index(codes, np.ones(len(codes), np.int64))
+        for q in codes[:50]:
+            place, apart = index.nearest(q, 5, 64)
+            d = np.bitwise_count(codes ^ q)
+            last = np.sort(d)[4]
+            assert sorted(place) == np.flatnonzero(d <= last).tolist() and (apart == d[place]).all()
+            assert sorted(index.nearest(q, 5, 3)[0]) == np.flatnonzero(d <= min(3, last)).tolist()
+        assert index.compared < most * 50 * 2 * len(codes)
+
+
 def test_hamming_blocks(spark, monkeypatch):
     """Many shards and query blocks, hot codes, near clusters and far strays: same as brute force."""
     monkeypatch.setattr(hamming, "SHARD", 50)
