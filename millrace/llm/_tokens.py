@@ -12,7 +12,7 @@ from itertools import chain
 
 import numpy as np
 
-CACHE = 600_000
+CACHE = 900_000  # words and stems
 _encoders: dict[str, Encoder] = {}
 
 
@@ -32,8 +32,27 @@ def _gather(flat: np.ndarray, first: np.ndarray, number: np.ndarray) -> tuple[np
     return flat[np.arange(total) + np.repeat(begin - stop + size, size)], stop
 
 
+class Ids:
+    """Id lists end to end, each with a number; what holds them grows by doubling."""
+
+    def __init__(self):
+        self.first, self.flat, self.n = np.zeros(1025, np.int64), np.zeros(4096, np.uint32), 0
+
+    def add(self, flat: np.ndarray, ends: np.ndarray) -> int:
+        """Appends lists that end at ends in flat; the number of the first."""
+        at, number, many = int(self.first[self.n]), self.n, len(ends)
+        if self.n + many >= len(self.first):
+            self.first = np.concatenate([self.first, np.zeros(max(len(self.first), many), np.int64)])
+        if at + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.uint32)])
+        self.flat[at : at + len(flat)] = flat
+        self.first[self.n + 1 : self.n + 1 + many] = ends + at
+        self.n += many
+        return number
+
+
 class Encoder:
-    """cache: what stands after a space -> its number; flat[first[i] : first[i + 1]] are the ids of number i.  Number 0 marks what must be encoded with its text."""
+    """cache: what stands after a space -> its number in known, which has its ids.  Number 0 marks what must be encoded with its text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,9 +66,10 @@ class Encoder:
 
     def forget(self) -> None:
         self.cache: dict[str, int] = {}
-        self.first, self.flat = np.zeros(2, np.int64), np.zeros(0, np.uint32)
+        self.known = Ids()
+        self.known.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
         self.stems: dict[str, int] = {}
-        self.stem_first, self.stem_flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.parts = Ids()
 
     def learn(self, words: list[str]) -> None:
         """Adds words to the cache.  Punctuation after a letter is a piece of its own in these vocabularies, so stems and ends are encoded once each."""
@@ -61,14 +81,10 @@ class Encoder:
             halves += [" " + (stem.lower() if self.fold and stem.isascii() else stem), w[len(stem) :]]
         new = list(dict.fromkeys(halves).keys() - self.stems.keys())
         flat, at = self.many(new)
-        self.stems.update(zip(new, range(len(self.stem_first) - 1, len(self.stem_first) - 1 + len(new)), strict=True))
-        self.stem_first = np.concatenate([self.stem_first, at[1:] + len(self.stem_flat)])
-        self.stem_flat = np.concatenate([self.stem_flat, flat])
+        self.stems.update(zip(new, range(begin := self.parts.add(flat, at[1:]), begin + len(new)), strict=True))
         number = np.fromiter(map(self.stems.__getitem__, halves), np.int64, len(halves))
-        got, stop = _gather(self.stem_flat, self.stem_first, number)
-        self.cache.update(zip(words, range(len(self.first) - 1, len(self.first) - 1 + len(words)), strict=True))
-        self.first = np.concatenate([self.first, stop[1::2] + len(self.flat)])
-        self.flat = np.concatenate([self.flat, got])
+        got, stop = _gather(self.parts.flat, self.parts.first, number)
+        self.cache.update(zip(words, range(begin := self.known.add(got, stop[1::2]), begin + len(words)), strict=True))
 
     def raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,7 +98,7 @@ class Encoder:
     def ids(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """Ids of each whole text (null: empty), then the end id."""
         parts = [(t or "").split(" ") for t in texts]
-        if len(self.cache) > CACHE:
+        if len(self.cache) + len(self.stems) > CACHE:
             self.forget()
         new = list(set(chain.from_iterable(p[1:] for p in parts)) - self.cache.keys())
         good = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and "<|" not in w]
@@ -91,7 +107,7 @@ class Encoder:
 
         counts = np.array([len(p) - 1 for p in parts])
         number = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(p[1:] for p in parts)), np.int64, counts.sum())
-        got, stop = _gather(self.flat, self.first, number)
+        got, stop = _gather(self.known.flat, self.known.first, number)
         word = np.cumsum(np.concatenate([[0], counts]))
         edge = np.concatenate([[0], stop])[word]
         odd = np.concatenate([[0], np.cumsum(number == 0)])[word]

@@ -1,11 +1,11 @@
 """Packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
-Each document gives full windows of its own and a remainder.  Remainders are gathered into
-blocks; in a block, partial partitions into k windows are merged, the two with the largest
-spread first and the fullest window of one with the emptiest of the other.  If a window exceeds
-the capacity, either its tail is cut off and moved to windows with room (cut=True), or the
-number of windows rises until none does.  Blocks lie within one input partition, so nothing is
-shuffled and the padding of a partition is under one window.
+A document longer than a window fills windows of its own, and what is left of it is cut into
+pieces; a shorter one stays whole.  These items are gathered into blocks; in a block, partial
+partitions into k windows are merged, the two with the largest spread first and the fullest
+window of one with the emptiest of the other.  k is the least number that could hold the block,
+and rises until no window exceeds the capacity.  Blocks lie within one input partition, so
+nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from ._text import lean
 from ._tokens import encoder, vocabulary
 
 CAPACITY = 1024
-BLOCK = 64
+BLOCK = 128  # windows
+PIECE = 256
 OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -63,45 +64,26 @@ def _items(tree: tuple | None) -> list[int]:
     return out
 
 
-def windows(sizes: list[int], capacity: int, cut: bool = True) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, start in it, length), none over capacity.  Without cut, items over the capacity are an error."""
+def windows(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Item numbers of near-equal windows, none over capacity; an item over the capacity is an error."""
+    if any(s > capacity for s in sizes):
+        raise ValueError("an item exceeds the capacity")
     k = max(1, -(-sum(sizes) // capacity))
-    if not cut:
-        if any(s > capacity for s in sizes):
-            raise ValueError("an item exceeds the capacity")
-        while True:
-            found = difference(sizes, k)
-            if all(sum(sizes[i] for i in g) <= capacity for g in found):
-                return [[(i, 0, sizes[i]) for i in g] for g in found if g]
-            k += 1
-    out, over = [], []
-    for g in difference(sizes, k):
-        window, room = [], capacity
-        for i in sorted(g, key=lambda i: -sizes[i]):
-            fit = min(sizes[i], room)
-            if fit:
-                window.append((i, 0, fit))
-            if fit < sizes[i]:
-                over.append((i, fit, sizes[i] - fit))
-            room -= fit
-        out.append((window, room))
-    for window, room in out:
-        while room and over:
-            i, start, n = over.pop()
-            fit = min(n, room)
-            window.append((i, start, fit))
-            room -= fit
-            if fit < n:
-                over.append((i, start + fit, n - fit))
-    return [w for w, _ in out if w]
-
-
-def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, cut: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    found = difference(sizes, k)
+    while max(sum(sizes[i] for i in g) for g in found) > capacity:
+        k += 1
+        found = difference(sizes, k)
+    return [g for g in found if g]
+
+
+def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32 bit), doc_tokens, sequence_id, offset.
 
     A document is the ids of its text (null: empty) and end_id; each id lies in one piece, and
-    pieces lie in their sequence without a gap.  Ids may be null or repeat; each row is packed
-    by itself.  sequence_id is unique; sequences follow the input partitions.  No rows, no pieces.
+    pieces lie in their sequence without a gap.  Only documents longer than capacity are cut:
+    into whole windows, and the rest into pieces of at most ``piece`` ids.  Ids may be null or
+    repeat; each row is packed by itself.  sequence_id is unique; sequences follow the input
+    partitions.  No rows, no pieces.
     """
     ship(docs.sparkSession)
 
@@ -111,15 +93,17 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, cut:
         block: list[tuple] = []
         held = 0
 
-        def flush(items: list[tuple]) -> None:
-            nonlocal sequence
-            for window in windows([len(x[2]) for x in items], capacity, cut):
+        def flush() -> None:
+            nonlocal sequence, held
+            for window in windows([len(x[2]) for x in block], capacity):
                 at = 0
-                for i, start, n in window:
-                    doc, first, ids, total = items[i]
-                    rows.append((doc, first + start, n, ids[start : start + n].tobytes(), total, sequence, at))
-                    at += n
+                for i in window:
+                    doc, first, ids, total = block[i]
+                    rows.append((doc, first, len(ids), ids.tobytes(), total, sequence, at))
+                    at += len(ids)
                 sequence += 1
+            block.clear()
+            held = 0
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
@@ -132,23 +116,17 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, cut:
                 for start in range(0, full, capacity):
                     rows.append((doc, start, capacity, ids[start : start + capacity].tobytes(), total, sequence, 0))
                     sequence += 1
-                ids, start = ids[full:], full
-                while cut and held + len(ids) >= BLOCK * capacity:
-                    fit = BLOCK * capacity - held
-                    flush([*block, (doc, start, ids[:fit], total)])
-                    ids, start, held = ids[fit:], start + fit, 0
-                    block.clear()
-                if len(ids):
-                    block.append((doc, start, ids, total))
-                    held += len(ids)
-                if held >= BLOCK * capacity:
-                    flush(block)
-                    block.clear()
-                    held = 0
+                step = piece if full else capacity
+                for start in range(full, total, step):
+                    part = ids[start : start + step]
+                    if held + len(part) > BLOCK * capacity:
+                        flush()
+                    block.append((doc, start, part, total))
+                    held += len(part)
                 if len(rows) >= 2000:
                     yield out()
         if block:
-            flush(block)
+            flush()
         if rows:
             yield out()
 
@@ -156,5 +134,6 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, cut:
 
 
 def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 1024; odd input as in ``pack``."""
     pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"), 0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
