@@ -9,15 +9,13 @@ documents are taken in a seeded order until its flow is used up.
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import Scratch
 
 BUCKETS = 65536
-MAX_PATTERNS = 20_000
+MAX_PATTERNS = 200_000  # rows on the driver, about 100 MB
 
 
 def quotas(weights: list[float], limits: list[float], total: float) -> list[float]:
@@ -36,57 +34,85 @@ def quotas(weights: list[float], limits: list[float], total: float) -> list[floa
     return out
 
 
-def flow(sizes: list[int], members: list[list[int]], wanted: list[int], prices: list[int]) -> list[list[int]]:
-    """Tokens [pattern][source] of a cheapest flow that fills wanted as far as possible.
+def flow(sizes: list[int], members: list[list[int]], wanted: list[int], prices: list[int]) -> list[dict[int, int]]:
+    """Tokens by source of each pattern in a cheapest flow that fills wanted as far as possible.
 
     A pattern's k-th use costs prices[k] a token (convex: ascending), so each use is an arc of
-    the pattern's size.  Successive cheapest augmenting paths (queue-based Bellman-Ford).
+    the pattern's size.  Only these arcs cost, and each path has one of them, so the cheapest
+    augmenting paths come in the order of prices: the arcs of one price are opened at a time,
+    and a maximum flow (level graphs, blocking flows) is carried on from the one before.
+    Patterns and sources that are linked to nothing else need no search.
     """
     n, m = len(sizes), len(wanted)
-    start, end = n + m, n + m + 1
-    arcs: list[list[int]] = []  # to, capacity, cost; arc k ^ 1 is its reverse
-    out: list[list[int]] = [[] for _ in range(n + m + 2)]
-
-    def arc(a: int, b: int, room: int, cost: int) -> int:
-        out[a].append(len(arcs))
-        arcs.append([b, room, cost])
-        out[b].append(len(arcs))
-        arcs.append([a, 0, -cost])
-        return len(arcs) - 2
-
-    for i, size in enumerate(sizes):
-        for cost in prices:
-            arc(start, i, size, cost)
-    links = {(i, j): arc(i, n + j, sum(wanted) + 1, 0) for i, own in enumerate(members) for j in own}
-    for j, want in enumerate(wanted):
-        arc(n + j, end, want, 0)
-    while True:
-        cost: dict[int, int] = {start: 0}
-        back: dict[int, int] = {}
-        queue = deque([start])
-        while queue:
-            a = queue.popleft()
-            for k in out[a]:
-                b, room, price = arcs[k]
-                if room > 0 and cost[a] + price < cost.get(b, 1 << 60):
-                    cost[b], back[b] = cost[a] + price, k
-                    queue.append(b)
-        if end not in cost:
-            break
-        path, at = [], end
-        while at != start:
-            path.append(back[at])
-            at = arcs[back[at] ^ 1][0]
-        room = min(arcs[k][1] for k in path)
-        for k in path:
-            arcs[k][1] -= room
-            arcs[k ^ 1][1] += room
-    got = [[0] * m for _ in range(n)]
-    for (i, j), k in links.items():
-        got[i][j] = arcs[k ^ 1][1]
+    got: list[dict[int, int]] = [{} for _ in range(n)]
+    want, spare = list(wanted), [0] * n
+    of: list[list[int]] = [[] for _ in range(m)]
+    for i, own in enumerate(members):
+        for j in own:
+            of[j].append(i)
+    for _ in prices:
+        spare = [x + size for x, size in zip(spare, sizes, strict=True)]
+        while True:
+            # levels from patterns with spare tokens to sources that want some; a source sends back what a pattern gave it
+            level, side, free = [0 if x else -1 for x in spare], [-1] * m, False
+            layer, depth = [i for i in range(n) if spare[i]], 0
+            while layer and not free:
+                depth += 1
+                sources = []
+                for i in layer:
+                    for j in members[i]:
+                        if side[j] < 0:
+                            side[j] = depth
+                            sources.append(j)
+                            free = free or want[j] > 0
+                layer = []
+                for j in sources:
+                    for i in of[j]:
+                        if level[i] < 0 and got[i].get(j):
+                            level[i] = depth
+                            layer.append(i)
+            if not free:
+                break
+            seen_out, seen_back = [0] * n, [0] * m
+            for i in range(n):
+                while spare[i] and (path := _path(i, members, of, got, want, level, side, seen_out, seen_back)):
+                    room = min([spare[i], want[path[-1]], *(got[path[x + 1]][path[x]] for x in range(1, len(path) - 1, 2))])
+                    spare[i] -= room
+                    want[path[-1]] -= room
+                    for x in range(0, len(path), 2):
+                        got[path[x]][path[x + 1]] = got[path[x]].get(path[x + 1], 0) + room
+                        if x:
+                            got[path[x]][path[x - 1]] -= room
     return got
 
 
+def _path(i: int, members: list, of: list, got: list, want: list, level: list, side: list, seen_out: list, seen_back: list) -> list[int]:
+    """Pattern, source, pattern, ..., source along rising levels, the last source wanting some; [] if none is left."""
+    path = [i]
+    while path:
+        at, last = path[-1], len(path)
+        if last % 2:
+            own = members[at]
+            while seen_out[at] < len(own) and side[own[seen_out[at]]] != level[at] + 1:
+                seen_out[at] += 1
+            if seen_out[at] < len(own):
+                path.append(own[seen_out[at]])
+                continue
+        else:
+            if want[at]:
+                return path
+            own = of[at]
+            while seen_back[at] < len(own) and (level[own[seen_back[at]]] != side[at] or not got[own[seen_back[at]]].get(at)):
+                seen_back[at] += 1
+            if seen_back[at] < len(own):
+                path.append(own[seen_back[at]])
+                continue
+        path.pop()
+        if path:
+            (seen_back if last % 2 else seen_out)[path[-1]] += 1
+    return []
+
+
 def measured(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """docs and _size (words), _rank (seeded), _key (of the membership pattern), _pattern."""
     many = dict(docs.dtypes)[source_col].startswith("array")
@@ -116,7 +142,7 @@ def plan(rows: DataFrame, weights: list[float], share: float, most: int) -> Data
     target = quotas(weight, [float(most * x) for x in own], share * sum(r["size"] for r in found))
     got = flow([r["size"] for r in found], [[place[s] for s in r["pattern"]] for r in found], [round(x) for x in target], list(range(most)))
     first = [place[r["pattern"][0]] for r in found]
-    table = [(r["_key"], own[j], float(target[j]), *divmod(sum(got[i]), max(1, r["size"]))) for i, (r, j) in enumerate(zip(found, first, strict=True))]
+    table = [(r["_key"], own[j], float(target[j]), *divmod(sum(got[i].values()), max(1, r["size"]))) for i, (r, j) in enumerate(zip(found, first, strict=True))]
     table = spark.createDataFrame(table, "_key string, _own long, _target double, _times long, rest long")
     # words before each document in its pattern's seeded order: sums of rank buckets first, then single documents in the one bucket where the rest ends
     bucket = F.expr(f"CAST(shiftright(_rank, {60 - BUCKETS.bit_length() + 1}) AS int)")
@@ -171,6 +197,7 @@ def repeat(docs: DataFrame, weights: list[float], share: float, most: int, seed:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents; odd input as in ``mix``."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), [5, 2, 1], 1.5, 2)
 
 
