@@ -13,6 +13,7 @@ from itertools import chain
 import numpy as np
 
 CACHE = 900_000  # words and stems
+ENDS = ".,!?;:"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -75,8 +76,8 @@ class Encoder:
         """Adds words to the cache.  Punctuation after a letter is a piece of its own in these vocabularies, so stems and ends are encoded once each."""
         halves = []
         for w in words:
-            stem = w.rstrip(".,!?;:")
-            if not stem or not stem[-1].isalpha():
+            stem = w.rstrip(ENDS) if w[-1] in ENDS else w
+            if stem != w and not stem[-1:].isalpha():
                 stem = w
             halves += [" " + (stem.lower() if self.fold and stem.isascii() else stem), w[len(stem) :]]
         new = list(dict.fromkeys(halves).keys() - self.stems.keys())
@@ -102,7 +103,8 @@ class Encoder:
             self.forget()
         new = list(set(chain.from_iterable(p[1:] for p in parts)) - self.cache.keys())
         good = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and "<|" not in w]
-        self.cache.update(dict.fromkeys(new, 0))
+        if len(good) < len(new):
+            self.cache.update(dict.fromkeys(set(new).difference(good), 0))
         self.learn(good)
 
         counts = np.array([len(p) - 1 for p in parts])

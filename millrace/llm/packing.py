@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,33 +25,33 @@ from ._text import lean
 from ._tokens import encoder, vocabulary
 
 CAPACITY = 1024
-BLOCK = 128  # windows
-PIECE = 256
+_sum = itemgetter(0)
+BLOCK = 64  # windows
+PIECE = 128
 OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
-    """Item numbers of k near-equal windows."""
-    if k == 1:
-        return [list(range(len(sizes)))]
-    heap = []
-    for i, size in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[0] = size
-        heap.append((-size, i, sums, [(i, None)] + [None] * (k - 1)))
+    """Item numbers of k near-equal windows.
+
+    A partial partition is a descending list of (sum, items) of its windows, empty ones left out.
+    """
+    heap = [(-size, i, [(size, (i, None))]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     order = len(sizes)
     while len(heap) > 1:
-        _, _, a, own = heapq.heappop(heap)
-        _, _, b, other = heapq.heappop(heap)
-        sums = a + b[::-1]  # both are in descending order
-        groups = [(x, y) if x and y else x or y for x, y in zip(own, reversed(other), strict=True)]
-        by = np.argsort(-sums, kind="stable")
-        sums = sums[by]
-        sums = sums - sums[-1]
-        heapq.heappush(heap, (-int(sums[0]), order, sums, [groups[j] for j in by]))
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        p, q = len(a), len(b)
+        if p + q <= k:
+            both = a + b
+        else:  # window j of a meets window k - 1 - j of b
+            both = a[: k - q] + [(a[j][0] + b[k - 1 - j][0], (a[j][1], b[k - 1 - j][1])) for j in range(k - q, p)] + b[: k - p]
+        both.sort(key=_sum, reverse=True)
+        least = both[-1][0] if len(both) == k else 0
+        heapq.heappush(heap, (least - both[0][0], order, both))
         order += 1
-    return [_items(g) for g in heap[0][3]] if heap else [[] for _ in range(k)]
+    found = [_items(tree) for _, tree in heap[0][2]] if heap else []
+    return found + [[] for _ in range(k - len(found))]
 
 
 def _items(tree: tuple | None) -> list[int]:
