@@ -41,6 +41,8 @@ def _flat(a: Assertion, df: DataFrame) -> Column | bool:
         skip = F.coalesce(F.col(p["unlabeled"]), F.lit(False)) if p.get("unlabeled") else F.lit(False)
         return F.count_if(c.isNull() & ~skip)
     if a.kind == "dtype_equals":
+        if kinds[p["field"]].startswith("struct<dtype"):
+            return F.count_if(c["dtype"] != p["dtype"])
         return kinds[p["field"]] in _TAGS[p["dtype"]]
     if a.kind == "value_range":
         low, high = p.get("min"), p.get("max")
@@ -57,7 +59,15 @@ def _flat(a: Assertion, df: DataFrame) -> Column | bool:
     if a.kind == "value_in_set":
         return F.count_if(~c.isin(p["values"]))
     if a.kind == "shape_equals":
-        return F.count_if(~F.coalesce(F.size(c) == p["shape"][0], F.lit(False)))
+        want = F.array(*[F.lit(int(n)) for n in p["shape"]])
+        if kinds[p["field"]].startswith("struct<dtype"):
+            got = c["shape"]
+        else:  # nested arrays: the length of each axis, by its first element
+            axis, got, depth = c, F.array(F.size(c)), kinds[p["field"]].count("array<")
+            for _ in range(depth - 1):
+                axis = F.get(axis, F.lit(0))
+                got = F.concat(got, F.array(F.size(axis)))
+        return F.count_if(~F.coalesce(got == want, F.lit(False)))
     raise ValueError(f"unknown assertion {a.kind}")
 
 

@@ -119,3 +119,26 @@ def path_part(field: str, part: str) -> Column:
     if part == "parent":
         return F.get(parts, F.size(parts) - 2)
     return name if part == "name" else F.when(name.rlike(r"^.+\.[^.]+$"), F.regexp_extract(name, r"^(.+)\.[^.]+$", 1)).otherwise(name)
+
+
+def cast_dtype(field: str, dtype: str) -> Column:
+    """To a Spark type by its name or that of an array type (float32, int64); what can't be cast is null."""
+    kind = {"int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "float32": "float", "float64": "double", "str": "string", "bool": "boolean"}.get(dtype, dtype)
+    return F.col(field).try_cast(kind)
+
+
+def fit_tfidf(df: DataFrame, words: Column, max_features: int) -> dict[str, list]:
+    """The max_features terms found in most rows, ties by term, and their idf = ln((1 + N) / (1 + df)) + 1."""
+    rows = df.select(F.array_distinct(words).alias("w"))
+    n = rows.count()
+    top = rows.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(max_features).collect()
+    from math import log
+
+    return {"terms": [r["term"] for r in top], "idf": [log((1 + n) / (1 + r["df"])) + 1 for r in top]}
+
+
+def tfidf_vector(words: Column, terms: list[str], idf: list[float]) -> Column:
+    """term -> count * idf of the fitted terms that occur."""
+    table = F.create_map(*[F.lit(x) for pair in zip(terms, map(float, idf), strict=True) for x in pair])
+    kept = F.filter(F.array_distinct(words), lambda t: table[t].isNotNull())
+    return F.map_from_arrays(kept, F.transform(kept, lambda t: F.size(F.filter(words, lambda w: w == t)) * table[t]))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .features import tokens
 from .splits import SPLIT
 
 
@@ -40,3 +41,15 @@ def summary(df: DataFrame, fields: list[str]) -> DataFrame:
         x = F.col(c).cast("double")
         aggs.append(F.struct(F.lit(c).alias("field"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("n_null"), F.count_distinct(c).alias("n_distinct"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")))
     return df.agg(F.array(*aggs).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+
+
+def token_lengths(df: DataFrame, field: str, width: int = 10) -> DataFrame:
+    """bin (its first length), n: rows by number of tokens."""
+    n = F.size(tokens(field))
+    return df.where(F.col(field).isNotNull()).groupBy((F.floor(n / width) * width).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def peek(df: DataFrame, record_id: str = "record_id", n: int = 3) -> DataFrame:
+    """The first n rows of each split by id."""
+    here = Window.partitionBy(SPLIT).orderBy(record_id)
+    return df.where(F.col(SPLIT).isNotNull()).withColumn("_r", F.row_number().over(here)).where(F.col("_r") <= n).drop("_r")

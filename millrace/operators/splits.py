@@ -41,12 +41,12 @@ def split_by_key(df: DataFrame, field: str, mapping: dict[str, str], strict: boo
     return df.withColumn(SPLIT, F.coalesce(found, other))
 
 
-def split_by_partition(df: DataFrame, partition: str, record_id: str | None = None, applies_to: str | None = None, ratios: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
-    """The source's partitions as splits; with applies_to, that one is divided by ratios and the others pass."""
+def split_by_partition(df: DataFrame, partition: str, record_id: str | None = None, applies_to: str | None = None, ratios: dict[str, float] | None = None, seed: int = 0, stratify_by: str | None = None) -> DataFrame:
+    """The source's partitions as splits; with applies_to, that one is divided by ratios (of each class, if stratified) and the others pass."""
     if applies_to is None:
         return df.withColumn(SPLIT, F.col(partition))
     inside = F.coalesce(F.col(partition) == applies_to, F.lit(False))
-    placed = positions(df.withColumn("_in", inside), rank(seed, record_id), [record_id], [F.col("_in")])
+    placed = positions(df.withColumn("_in", inside), rank(seed, record_id), [record_id], [F.col("_in"), *([F.col(stratify_by)] if stratify_by else [])])
     return placed.withColumn(SPLIT, F.when(F.col("_in"), _by_ratio(ratios)).otherwise(F.col(partition))).drop("_in", "_at", "_of")
 
 
