@@ -26,6 +26,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.tables: list[DataFrame] = []
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -43,13 +44,20 @@ class Scratch:
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path, out.rows_ = path, seen.get["n"]
+        self.tables.append(out)
         return out
 
+    def clear(self, *kept: DataFrame) -> None:
+        """Deletes all its tables but the kept ones."""
+        stay = {t._scratch_path for t in kept}
+        self.drop(*[t for t in self.tables if t._scratch_path not in stay])
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes tables that nothing reads any more, and lets Spark forget the shuffles behind them."""
         for t in tables:
             if t is not None:
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                self.tables = [x for x in self.tables if x is not t]
         gc.collect()
         self.spark._jvm.System.gc()

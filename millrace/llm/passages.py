@@ -138,6 +138,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     texts = scratch.save(docs.join(spans, ["doc_id", "print"]).select("text", "spans").mapInArrow(lean(pick), "node long, text string"), "texts", classes.rows_, 20_000)
     scratch.drop()
     linked = link(postings, texts, SHINGLE, percent, scratch)
+    scratch.drop(postings, texts)
 
     of = classes.select("words", "copies", "node", "doc_id", "print", "paragraph").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = of.groupBy("component").agg(F.min(F.struct("doc_id", "print", "paragraph")).alias("first"), F.sum("copies").alias("members")).where("members > 1")
@@ -146,7 +147,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     removed = F.expr("NOT (doc_id = first.doc_id AND print = first.print AND paragraph = first.paragraph)")
     out = out.select("doc_id", "print", "paragraph", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), removed.alias("removed"))
     out = scratch.save(out, "repeats", found.rows_)
-    scratch.drop(found, classes, postings, texts)
+    scratch.clear(out)
     return out
 
 
@@ -188,18 +189,20 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     Each window of span words is looked at, so the result is exact but for 64-bit hashes.  Equal
     windows have the same smallest gram of span / 2 words; only windows whose smallest gram
     occurs twice are hashed whole.  They are sent in blocks of neighbours with one smallest gram,
-    and counted once for each class of equal blocks.  The first window by (doc_id, print, place)
-    stays; runs of others are removed, but for words they share with a window that stays.
+    once for each class of equal blocks; where all blocks of a gram are equal and no window stands
+    twice in them, their windows stand nowhere else, and only the others are compared one by one.  The first window by doc_id, text
+    and place stays; runs of others are removed, but for words they share with a window that stays.
     Case of A-Z and kind of white space don't count.  Ids as in ``repeats``.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "spans")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print")).where("doc_id IS NOT NULL")
+    ref = F.xxhash64("doc_id", "print").alias("ref")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            refs = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, data, off in slices(batch.column(1)):
                 start, end, counts = words(data, off)
                 if len(start) < span:
@@ -209,11 +212,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
                 around = np.full(len(least) + 2 * room, ~U(0))
                 around[room : room + len(least)] = np.where(inside, ~least, ~U(0))
                 chosen = np.flatnonzero(~lowest(around, room + 1) == g)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row[chosen]], pa.int64()), pa.array(prints[lo + row[chosen]], pa.int64()), pa.array(g[chosen].view(np.int64))], ["doc_id", "print", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(refs[lo + row[chosen]], pa.int64()), pa.array(g[chosen].view(np.int64))], ["ref", "key"])
 
-    listed = scratch.save(docs.mapInArrow(lean(anchors), "doc_id long, print long, key long"), "anchors")
+    listed = scratch.save(docs.select(ref, "text").mapInArrow(lean(anchors), "ref long, key long"), "anchors")
     shared = listed.groupBy("key").agg(F.count("*").alias("found")).where("found > 1").select("key")
-    keys = listed.join(shared, "key").groupBy("doc_id", "print").agg(F.collect_set("key").alias("keys"))
+    keys = listed.join(shared, "key").groupBy("ref").agg(F.collect_set("key").alias("keys"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,36 +244,49 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
                 sizes = np.diff(np.append(block, len(at)))
                 within = np.arange(len(at)) - np.repeat(block, sizes)
                 whole_hash = np.add.reduceat(mix(h ^ mix(within.astype(np.uint64))), block) if len(block) else h
-                lists = [h.view(np.int64), (points[start[at]] - base).astype(np.int32), (points[end[at + span - 1]] - base).astype(np.int32)]
+                lists = [h.view(np.int64)]
+                for places in (points[start[at]] - base, points[end[at + span - 1]] - base):  # the first, then steps, which are small
+                    steps = places.copy()
+                    steps[1:] -= places[:-1]
+                    steps[block] = places[block]
+                    lists.append(steps.astype(np.int32))
                 of, edges = at[block], pa.array(np.append(block, len(at)), pa.int32())
-                cols = [mix(whole_hash + sizes.astype(np.uint64)).view(np.int64), ids[lo + row[of]], prints[lo + row[of]], of - first[row[of]]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *(pa.ListArray.from_arrays(edges, pa.array(c)) for c in lists)], ["block", "doc_id", "print", "w", "h", "s", "e"])
+                cols = [mix(whole_hash + sizes.astype(np.uint64)).view(np.int64), least[of].view(np.int64), ids[lo + row[of]], prints[lo + row[of]], of - first[row[of]]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *(pa.ListArray.from_arrays(edges, pa.array(c)) for c in lists)], ["block", "gram", "doc_id", "print", "w", "h", "s", "e"])
 
-    found = docs.join(keys, ["doc_id", "print"]).select("doc_id", "text", "print", "keys").mapInArrow(lean(whole), "block long, doc_id long, print long, w long, h array<long>, s array<int>, e array<int>")
-    found = scratch.save(found, "blocks")
+    found = docs.join(keys.withColumnRenamed("ref", "_ref"), F.xxhash64("doc_id", "print") == F.col("_ref")).select("doc_id", "text", "print", "keys")
+    found = scratch.save(found.mapInArrow(lean(whole), "block long, gram long, doc_id long, print long, w long, h array<long>, s array<int>, e array<int>"), "blocks")
     scratch.drop(listed)
     # equal blocks have equal windows; the first stands for all
-    blocks = found.groupBy("block").agg(F.min(F.struct("doc_id", "print", "w", "h", "s")).alias("b"), F.count("*").alias("copies"))
-    blocks = scratch.save(blocks.select("block", "copies", "b.*"), "classes")
+    blocks = found.groupBy("block").agg(F.min(F.struct("doc_id", "print", "w", "h", "s")).alias("b"), F.min("gram").alias("gram"), F.count("*").alias("copies"))
+    blocks = blocks.select("block", "gram", (F.col("copies") > 1).alias("many"), "b.*").withColumn("b", F.monotonically_increasing_id())
+    blocks = scratch.save(blocks, "classes", found.rows_)
     scratch.drop()
-    each = blocks.select("block", "copies", "doc_id", "print", "w", "s", F.posexplode("h").alias("o", "key"))
-    each = each.select("block", "o", "key", "copies", F.struct("doc_id", "print", (F.col("w") + F.col("o")).alias("w"), F.expr("s[o]").alias("s")).alias("at"))
-    heads = each.groupBy("key").agg(F.min("at").alias("f"), F.sum("copies").alias("copies")).where("copies > 1").select("key", "f")
-    twice = each.select("block", "o", "key").join(heads, "key").select("block", "o", F.col("f.doc_id").alias("fd"), F.col("f.print").alias("fp"), F.col("f.w").alias("fw"), F.col("f.s").alias("fs"))
+    tag = F.pmod("print", F.lit(1 << 15)).cast("short").alias("tag")
+    kinds = blocks.groupBy("gram").agg(F.count("*").alias("kinds"), F.max(F.size(F.array_distinct("h")) < F.size("h")).alias("within")).where("kinds > 1 OR within").select("gram")
+    alone = blocks.join(kinds, "gram", "left_anti").where("many").select("b", F.lit(0).alias("o1"), (F.size("h") - 1).alias("o2"), F.col("doc_id").alias("fd"), tag.alias("ft"), F.col("w").alias("shift"), F.struct(F.col("b").alias("b"), F.lit(0).alias("o")).alias("f"))
+    each = blocks.join(kinds, "gram", "left_semi").select("b", "many", "doc_id", tag, "w", F.posexplode("h").alias("o", "key"))
+    heads = each.groupBy("key").agg(F.min(F.struct("doc_id", "tag", (F.col("w") + F.col("o")).alias("w"), "b", "o")).alias("f"), F.max("many").alias("many"), F.count("*").alias("n")).where("many OR n > 1").select("key", "f")
+    twice = each.select("b", "o", "key").join(heads, "key").select("b", "o", F.col("f.doc_id").alias("fd"), F.col("f.tag").alias("ft"), (F.col("f.w") - F.col("o")).alias("shift"), F.struct("f.b", "f.o").alias("f"))
     # windows that follow each other in their firsts too
-    twice = twice.withColumn("r", F.col("o") - F.row_number().over(Window.partitionBy("block", "fd", "fp", F.col("fw") - F.col("o")).orderBy("o")))
-    parts = twice.groupBy("block", "fd", "fp", (F.col("fw") - F.col("o")).alias("shift"), "r").agg(F.min("o").alias("o1"), F.max("o").alias("o2"), F.min_by("fs", "o").alias("fs"))
-    parts = scratch.save(parts.drop("r"), "parts")
+    twice = twice.withColumn("r", F.col("o") - F.row_number().over(Window.partitionBy("b", "fd", "ft", "shift").orderBy("o")))
+    parts = twice.groupBy("b", "fd", "ft", "shift", "r").agg(F.min("o").alias("o1"), F.max("o").alias("o2"), F.min_by("f", "o").alias("f")).drop("r")
+    parts = scratch.save(parts.unionByName(alone), "runs", found.rows_)
+    scratch.drop()
+    upto = "aggregate(slice({0}, 1, {1} + 1), 0L, (a, x) -> a + x)"  # the place after so many steps
+    firsts = blocks.select(F.col("b").alias("fb"), F.col("s").alias("fs"))
+    parts = parts.join(firsts, F.col("f.b") == F.col("fb")).withColumn("fs", F.expr(upto.format("fs", "f.o"))).drop("f", "fb").join(blocks.select("b", "block"), "b").drop("b")
+    parts = scratch.save(parts, "parts", scratch.tables[-1].rows_)
     scratch.drop(blocks)
-    copy = ~F.expr("fd = doc_id AND fp = print AND shift = w")
+    copy = ~(F.expr("fd = doc_id AND shift = w") & (F.col("ft") == tag))
     of = found.select("block", "doc_id", "print", "w", "s", "e").join(parts, "block")
-    of = of.select("doc_id", "print", F.expr("w + o1").alias("w1"), F.expr("w + o2").alias("w2"), F.expr("s[o1]").cast("long").alias("s"), F.expr("e[o2]").cast("long").alias("e"), "fd", F.col("fs").cast("long").alias("fs"), copy.alias("copy"))
+    of = of.select("doc_id", "print", F.expr("w + o1").alias("w1"), F.expr("w + o2").alias("w2"), F.expr(upto.format("s", "o1")).alias("s"), F.expr(upto.format("e", "o2")).alias("e"), "fd", "fs", copy.alias("copy"))
     here = Window.partitionBy("doc_id", "print").orderBy("w1")
     new = (F.col("w1") > F.lag("w2").over(here) + 1) | (F.col("copy") != F.lag("copy").over(here)) | (F.col("fd") != F.lag("fd").over(here))
     runs = of.withColumn("new", F.coalesce(new, F.lit(True)).cast("long")).withColumn("run", F.sum("new").over(here))
     out = runs.groupBy("doc_id", "print", "run").agg(F.min("s").alias("start"), F.max("e").alias("end"), (F.max("w2") - F.min("w1") + span).alias("n_words"), F.min("fd").alias("first_doc_id"), F.min_by("fs", "w1").alias("first_start"), F.first("copy").alias("removed"))
-    out = scratch.save(out.drop("run"), "spans")
-    scratch.drop(found, parts)
+    out = scratch.save(out.drop("run"), "spans", found.rows_)
+    scratch.clear(out)
     return out
 
 
