@@ -27,6 +27,7 @@ COMMON = 100_000
 ROUNDS = 3
 MARK = 0xFF  # stands for the word-start mark; no byte of UTF-8
 LOG10 = np.log(10)
+LONG = 1 << 15  # bytes from which a word is gone through in parts, so memory grows with 16 bytes a byte of it
 
 
 def pieces(path: str) -> list[bytes]:
@@ -84,10 +85,28 @@ class Lattice:
             alpha[:, j] = np.logaddexp.reduce(alpha[:, lo:j] + self.logp[ids], axis=1)
         return alpha
 
+    def _chunks(self, data: np.ndarray, backward: bool = False) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """One long word LONG ends at a time: the place before the first end, and each end's piece ids as in ``_edges``."""
+        cuts = range(0, len(data), LONG)
+        for lo in reversed(cuts) if backward else cuts:
+            first = max(0, lo - self.longest)
+            yield lo, self._edges(data[None, first : lo + LONG])[lo - first :]
+
+    def _forward_long(self, data: np.ndarray) -> np.ndarray:
+        alpha = np.zeros(len(data) + 1)
+        for lo, edges in self._chunks(data):
+            for j, ids in enumerate(edges, lo + 1):
+                alpha[j] = np.logaddexp.reduce(alpha[j - ids.shape[1] : j] + self.logp[ids[0]])
+        return alpha
+
+    @staticmethod
+    def _marked(word: bytes) -> np.ndarray:
+        return np.frombuffer(bytes([MARK]) + word, np.uint8)
+
     def groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Row numbers and bytes (word-start mark first) of words of equal length, at most about 2 MB at a time."""
+        """Row numbers and bytes (word-start mark first) of words of equal length under LONG, at most about 2 MB at a time."""
         size = np.array([len(w) for w in words], np.int64)
-        for length in np.unique(size):
+        for length in np.unique(size[size < LONG]):
             rows = np.flatnonzero(size == length)
             step = max(1, 200_000 // int(length + 1))
             for lo in range(0, len(rows), step):
@@ -100,6 +119,9 @@ class Lattice:
         out = np.zeros(len(words))
         for rows, data in self.groups(words):
             out[rows] = self._forward(self._edges(data), len(rows))[:, -1]
+        for i, w in enumerate(words):
+            if len(w) >= LONG:
+                out[i] = self._forward_long(self._marked(w))[-1]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
@@ -117,6 +139,20 @@ class Lattice:
                 beta[:, lo:j] = np.logaddexp(beta[:, lo:j], through)
                 share = np.exp(alpha[:, lo:j] + through - alpha[:, -1:]) * counts[rows][:, None]
                 out += np.bincount(ids.ravel(), share.ravel(), len(out))
+        for w, n in zip(words, counts, strict=True):
+            if len(w) < LONG:
+                continue
+            data = self._marked(w)
+            alpha = self._forward_long(data)
+            beta = np.full(len(alpha), -np.inf)
+            beta[-1] = 0
+            for lo, edges in self._chunks(data, backward=True):
+                for j in range(lo + len(edges), lo, -1):
+                    ids = edges[j - lo - 1][0]
+                    at = slice(j - len(ids), j)
+                    through = self.logp[ids] + beta[j]
+                    beta[at] = np.logaddexp(beta[at], through)
+                    np.add.at(out, ids, np.exp(alpha[at] + through - alpha[-1]) * n)
         return out[:-1]
 
 
@@ -281,6 +317,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def op8_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; odd input as in ``score``."""
     from ._tokens import vocabulary
 
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("piece_bpe_32k.model"))

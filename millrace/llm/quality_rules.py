@@ -131,4 +131,5 @@ def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all documents; odd input as in ``assess``."""
     return assess(spark.read.parquet(f"{sf_dir}/documents.parquet"))

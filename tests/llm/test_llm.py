@@ -350,6 +350,90 @@ def test_lattice_against_brute_force():
     assert math.isclose((uses * length).sum(), 2 * 4 + 3)  # every byte is covered once
 
 
+def test_lattice_of_long_words(monkeypatch):
+    """Gone through in parts or at once: the same marginals and expected uses; a blank-free text of 300 KB goes through."""
+    names = [b"\xffa", b"ab", b"abab", b"\xffab", b"c", b"bc", b"cab", *[bytes([i]) for i in range(256) if i != 99], b""]
+    logp = np.log(np.random.default_rng(1).dirichlet(np.ones(len(names))))
+    model = lattice.Lattice(names, logp)
+    words, counts = [b"ab" * 30 + b"c", b"abcab" * 21, b"cc"], np.array([1.0, 3.0, 2.0])
+    whole = model.marginals(words), model.expected(words, counts)
+    monkeypatch.setattr(lattice, "LONG", 7)
+    parts = model.marginals(words), model.expected(words, counts)
+    assert np.allclose(whole[0], parts[0]) and np.allclose(whole[1], parts[1])
+    monkeypatch.undo()
+    assert model.marginals([b"abc" * 100_000])[0] < -1000
+
+
+def test_quality_model_against_numpy(spark, docs):
+    """Rules vote, expectation-maximisation and posterior, written a second time without Spark's expressions."""
+    rows = quality_rules.features(docs.select("doc_id", "text")).select("doc_id", *quality_rules.PARTS).toPandas()
+    env = rows.astype({c: float for c in quality_rules.PARTS})
+
+    def holds(rule):
+        rule = re.sub(r"(\w+) BETWEEN (.+) AND (.+)", r"((\1 >= \2) & (\1 <= \3))", rule)
+        parts = [f"({x.replace(' = ', ' == ')})" for x in re.split(r" AND | OR ", rule)]
+        return env.eval((" & " if " AND " in rule else " | ").join(parts)).to_numpy()
+
+    votes = np.stack([np.where(holds(bad), -1, np.where(holds(good), 1, 0)) for bad, good in quality_rules.RULES.values()], 1)
+    k = votes.shape[1]
+    p, g, b = 0.8, np.full(k, 0.998), np.full(k, 0.3)
+
+    def posterior():
+        odds = np.log(p / (1 - p)) + np.where(votes == 1, np.log(g / (1 - b)), np.where(votes == -1, np.log((1 - g) / b), 0)).sum(1)
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(quality_rules.ITERATIONS):
+        q = posterior()
+        p = np.clip(q.mean(), *quality_rules.PRIOR_RANGE)
+        g, b = (np.array([np.clip((1 + w[votes[:, j] == hit].sum()) / (2 + w[votes[:, j] != 0].sum()), *fence) for j in range(k)]) for hit, w, fence in ((1, q, quality_rules.GOOD_RANGE), (-1, 1 - q, quality_rules.BAD_RANGE)))
+    want = dict(zip(rows["doc_id"], posterior(), strict=True))
+    got = quality_rules.assess(docs).collect()
+    assert all(abs(r["p_quality"] - want[r["doc_id"]]) < 2e-6 for r in got)
+    assert all(r["kept"] == (not r["base_failed"] and want[r["doc_id"]] >= quality_rules.LEAST) for r in got)
+
+
+def test_importance_against_counters(spark, docs):
+    """Bucket counts, log ratios, weights and the chosen rows from Counters of words and word pairs."""
+    targets, buckets = [d for d in range(0, 120, 3)], 512
+    texts = {r["doc_id"]: [w.decode("utf-8", "surrogateescape") for w in (r["text"] or "").encode().lower().split()] for r in docs.select("doc_id", "text").collect()}
+
+    def bucket(text):
+        return int(next(importance._features(importance.pa.array([text]), buckets))[0][-1])
+
+    known = {}
+    bags = {}
+    for d, ws in texts.items():
+        grams = [*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False))]
+        bags[d] = collections.Counter(known.setdefault(x, bucket(x)) if x not in known else known[x] for x in grams)
+    raw, good = collections.Counter(), collections.Counter()
+    for d, bag in bags.items():
+        raw.update(bag)
+        if d in targets:
+            good.update(bag)
+    n, m = sum(raw.values()) + buckets, sum(good.values()) + buckets
+    weight = {d: sum(c * (math.log((good[x] + 1) / m) - math.log((raw[x] + 1) / n)) for x, c in bag.items()) for d, bag in bags.items()}
+    got = {r["doc_id"]: r for r in importance.resample(docs, targets, 0.3, buckets=buckets).collect()}
+    for d, bag in bags.items():
+        assert got[d]["n_features"] == sum(bag.values()) and math.isclose(got[d]["log_weight"], weight[d], rel_tol=1e-9, abs_tol=1e-9)
+    order = sorted(got.values(), key=lambda r: (-r["key"], r["doc_id"]))
+    assert [r["kept"] for r in order] == [i < round(0.3 * len(order)) for i in range(len(order))]
+    noise = np.array([r["key"] - r["log_weight"] for r in got.values()])
+    assert abs(noise.mean() - 0.5772) < 0.4 and abs(noise.std() - 1.2825) < 0.4  # as of a Gumbel variable
+
+
+def test_license_base_against_regex(spark):
+    rng = random.Random(12)
+    bits = ["CC", "by", "-", "general", "Public", "license", "all", "rights", "reserved", " ", "\n", ",", "x1", "Ü"]
+    rows = [(i, "".join(rng.choice(bits) + rng.choice(["", " ", " ", "."]) for _ in range(rng.randrange(60)))) for i in range(400)]
+    base = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(low))
+        want = sorted((n, label) for phrase, label in base.items() for n in range(len(ws)) if ws[n : n + len(phrase.split())] == phrase.split())
+        assert got[i]["n_words"] == len(ws) and [(p["start"], p["label"]) for p in got[i]["places"]] == want
+
+
 def test_lattice_base_scores(spark, docs):
     rows = [(d, (t or "").encode().lower().split()) for d, t in docs.select("doc_id", "text").collect()]
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows}
