@@ -60,7 +60,12 @@ def train(docs: DataFrame, path: str, end_id: int, width: int, sample: int = SAM
     At most 16 pieces of 4 KiB, evenly spread over each, are learned from: this shapes
     compression only, never what is stored.
     """
-    chosen = [r[0] for r in docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    # only rows of small hashes are ordered, so tasks don't send ``sample`` rows each
+    ids = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).alias("h")).where("doc_id IS NOT NULL")
+    share = 4 * sample / max(1, docs.count())
+    while len(chosen := ids.where(F.col("h") < int(share * (1 << 32))).orderBy("h", "doc_id").limit(sample).collect()) < sample and share < 1:
+        share *= 4
+    chosen = [r["doc_id"] for r in chosen]
     frames = _frames(docs.where(F.col("doc_id").isin(chosen)), path, end_id, width, b"").orderBy("doc_id", "n", "frame").limit(sample).select("frame").toLocalIterator()
     parts = []
     for r in frames:
