@@ -60,7 +60,7 @@ def components(edges: DataFrame, scratch: Scratch, most: int, per_task: int = ED
         roots = scratch.save(roots, "roots", 2 * e.rows_)
         if tasks == 1 or roots.where("component <> other").isEmpty():
             out = roots.select("node", "component")
-            out.rows_ = roots.rows_
+            out.rows_, out._scratch_path = roots.rows_, roots._scratch_path
             return out
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"))
@@ -74,6 +74,8 @@ def verifier(texts: DataFrame, shingle: int, percent: int, sketch: tuple[int, fl
     """pairs (a, b) -> those with 100 * intersection >= percent * union of their full shingle sets.
 
     sketch (k, share): pairs whose k smallest hashes of the union hold less than this share of common ones are dropped first.
+    Only texts of nodes in pairs go further than the first join; if pairs are few, no text is
+    shuffled for that.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,8 +98,10 @@ def verifier(texts: DataFrame, shingle: int, percent: int, sketch: tuple[int, fl
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        own = texts.join(nodes, "node", "left_semi")
+        one = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        two = one.join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return two.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
     return verify
