@@ -81,12 +81,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = scratch.save(live.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1"), "repeated", rows.rows_)
     single = not repeated.rows_
 
-    values = classes.select("node", "n", F.explode("sketch").alias("key"))
+    values = classes.select("node", F.size("sketch").cast("short").alias("s"), F.explode("sketch").alias("key"))
     common = values.groupBy("key").agg(F.count("*").alias("found")).where("found > 1")
     # a share of s is at least ceil(share * s) values; of these, each that one document alone has takes a place in the prefix
     listed = values.join(common, "key")
     here = Window.partitionBy("node")
-    listed = listed.withColumn("s", F.least("n", F.lit(k))).withColumn("place", F.row_number().over(here.orderBy("found", "key"))).withColumn("many", F.count("*").over(here)).withColumn("weight", F.sum("found").over(here))
+    listed = listed.withColumn("place", F.row_number().over(here.orderBy("found", "key"))).withColumn("many", F.count("*").over(here)).withColumn("weight", F.sum("found").over(here))
     given = None
     if not single:  # rows of one id are one node
         owners = live.join(classes.select("print", "node"), "print").select("id", "node")
@@ -100,10 +100,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = scratch.save(texts, "texts", classes.rows_ if single else None, 5_000)
     scratch.drop()
     found = link(postings, texts, shingle, percent, scratch, given, (k, share), single)
+    scratch.clear(rows, classes, found)
 
     out = rows.select("id", "n_shingles", "print").join(classes.select("print", "node"), "print", "left").join(found, "node", "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "node", "id"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), (F.coalesce(F.col("id") == component, F.lit(True))).alias("kept"))
+    out = out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), (F.coalesce(F.col("id") == component, F.lit(True))).alias("kept"))
+    out = scratch.save(out, "groups", rows.rows_)
+    scratch.clear(out)
+    return out
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +137,7 @@ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, k.m AS component_id, s.doc_id =
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """docs with all columns, one row for each group of near duplicates (that of the smallest id); rows with a null id stay."""
-    found = Scratch(docs.sparkSession, "near-duplicates").save(near_duplicates(docs, id_col, text_col, **options), "groups")
+    found = near_duplicates(docs, id_col, text_col, **options)
     gone = found.where("NOT kept").select("doc_id").distinct()
     gone = gone.select(F.col("doc_id").alias(next(f"_gone{i}" for i in range(len(docs.columns) + 1) if f"_gone{i}" not in docs.columns)))
     left = docs.join(gone, docs[id_col].cast("long") == gone[gone.columns[0]], "left_anti")
