@@ -8,12 +8,16 @@ touches other white space are encoded whole.
 from __future__ import annotations
 
 import os
-from itertools import chain
+import re
+from itertools import chain, repeat
 
 import numpy as np
 
-CACHE = 900_000  # words and stems
-ENDS = ".,!?;:"
+CACHE = 700_000  # words
+# what the word vocabulary cuts alike alone and after a space: no apostrophes, and letters that keep their class when folded and composed
+PLAIN = re.compile("[!-&(-~\\n\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u024f]+")
+PIECES = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+JOIN = 100  # words encoded as one text
 _encoders: dict[str, Encoder] = {}
 
 
@@ -61,31 +65,26 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.model._resize_cache(0)  # ours takes its place
-        text = "Aé"
-        self.fold = self.raw([text])[0] == self.raw([text.lower()])[0]  # case doesn't matter
+        vocab = self.tokenizer.get_vocab()
+        self.closing = any(t.endswith("</w>") for t in vocab)  # else a token that opens with a space starts a word; in these vocabularies none has a space elsewhere
+        self.border = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.border[[i for t, i in vocab.items() if (t.endswith("</w>") if self.closing else t.startswith("Ġ"))]] = True
         self.forget()
 
     def forget(self) -> None:
         self.cache: dict[str, int] = {}
         self.known = Ids()
         self.known.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
-        self.stems: dict[str, int] = {}
-        self.parts = Ids()
 
     def learn(self, words: list[str]) -> None:
-        """Adds words to the cache.  Punctuation after a letter is a piece of its own in these vocabularies, so stems and ends are encoded once each."""
-        halves = []
-        for w in words:
-            stem = w.rstrip(ENDS) if w[-1] in ENDS else w
-            if stem != w and not stem[-1:].isalpha():
-                stem = w
-            halves += [" " + (stem.lower() if self.fold and stem.isascii() else stem), w[len(stem) :]]
-        new = list(dict.fromkeys(halves).keys() - self.stems.keys())
-        flat, at = self.many(new)
-        self.stems.update(zip(new, range(begin := self.parts.add(flat, at[1:]), begin + len(new)), strict=True))
-        number = np.fromiter(map(self.stems.__getitem__, halves), np.int64, len(halves))
-        got, stop = _gather(self.parts.flat, self.parts.first, number)
-        self.cache.update(zip(words, range(begin := self.known.add(got, stop[1::2]), begin + len(words)), strict=True))
+        """Adds words to the cache."""
+        lone, joint = [], words
+        if self.closing:
+            joint = [w for w in words if PLAIN.fullmatch(w)]
+            lone = [w for w in words if not PLAIN.fullmatch(w)] if len(joint) < len(words) else []
+        several = np.fromiter((1 if not self.closing or w.isalpha() else len(PIECES.findall(w)) for w in joint), np.int64, len(joint))
+        for new, (flat, at) in ((lone, self.many([" " + w for w in lone])), (joint, self.joined([" " + w for w in joint], several))):
+            self.cache.update(zip(new, range(begin := self.known.add(flat, at[1:]), begin + len(new)), strict=True))
 
     def raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,19 +95,37 @@ class Encoder:
         at = np.cumsum(np.fromiter(chain([0], map(len, ids)), np.int64, len(ids) + 1))
         return np.fromiter(chain.from_iterable(ids), np.uint32, at[-1]), at
 
+    def joined(self, words: list[str], several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``many``, for words that each begin with their only space and hold ``several`` border tokens: texts of JOIN words are encoded and cut where words meet.
+
+        If the borders are not as many as that, the words are encoded one by one.
+        """
+        flat, _ = self.many(["".join(words[i : i + JOIN]) for i in range(0, len(words), JOIN)])
+        borders = np.flatnonzero(self.border[flat])
+        if len(borders) != several.sum():
+            return self.many(words)
+        if self.closing:
+            cuts = borders[np.cumsum(several) - 1] + 1
+        else:
+            cuts = np.append(borders[1:], len(flat)) if words else borders
+        return flat, np.concatenate([[0], cuts]).astype(np.int64)
+
     def ids(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """Ids of each whole text (null: empty), then the end id."""
         parts = [(t or "").split(" ") for t in texts]
-        if len(self.cache) + len(self.stems) > CACHE:
+        if len(self.cache) > CACHE:
             self.forget()
-        new = list(set(chain.from_iterable(p[1:] for p in parts)) - self.cache.keys())
-        good = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and "<|" not in w]
+        words = list(chain.from_iterable(p[1:] for p in parts))
+        number = np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(number < 0).tolist()
+        new = dict.fromkeys(map(words.__getitem__, unknown))
+        good = [w for w in new if w and len(w.strip()) == len(w) and "<|" not in w]
         if len(good) < len(new):
-            self.cache.update(dict.fromkeys(set(new).difference(good), 0))
+            self.cache.update(dict.fromkeys(new.keys() - set(good), 0))
         self.learn(good)
+        number[unknown] = np.fromiter((self.cache[words[i]] for i in unknown), np.int64, len(unknown))
 
         counts = np.array([len(p) - 1 for p in parts])
-        number = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(p[1:] for p in parts)), np.int64, counts.sum())
         got, stop = _gather(self.known.flat, self.known.first, number)
         word = np.cumsum(np.concatenate([[0], counts]))
         edge = np.concatenate([[0], stop])[word]

@@ -230,6 +230,20 @@ def test_encoder_equals_library():
             assert got.tolist() == [*want, 7]
 
 
+def test_encoder_joins_words():
+    rng = random.Random(5)
+    letters = "abcXYZéüßİŉ'_-–.,!?#$%0123²\n\t\u0301😀日Ж\u1112"
+    words = ["".join(rng.choices(letters if rng.random() < 0.5 else "abcxyÀé.,\n", k=rng.randint(1, 9))) for _ in range(1500)]
+    words += ["don't", "x<|endoftext|>y", "a" * 5000, "'s"]
+    texts = [" ".join(rng.choices(words, k=rng.choice([1, 3, 60]))) for _ in range(300)]
+    texts += [" ".join(rng.choices([w for w in words if w.strip() == w], k=60)) for _ in range(300)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = Encoder(vocabulary(name))
+        for i in range(0, len(texts), 100):
+            for got, want in zip(e.ids(texts[i : i + 100], 7), e.raw(texts[i : i + 100]), strict=True):
+                assert got.tolist() == [*want, 7]
+
+
 def test_windows():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 100) for _ in range(200)]
