@@ -2,7 +2,8 @@
 
 A single space between two non-blank characters is a boundary no pre-tokenizer of these
 vocabularies matches across, so " word" has the same ids in every text.  Texts in which a space
-touches other white space are encoded whole.
+touches other white space are encoded whole.  The word vocabulary drops white space, so there
+every word has the same ids wherever it stands.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import numpy as np
 
 CACHE = 700_000  # words
 # what the word vocabulary cuts alike alone and after a space: no apostrophes, and letters that keep their class when folded and composed
-PLAIN = re.compile("[!-&(-~\\n\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u024f]+")
+PLAIN = re.compile(r"[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+SEPARATORS = re.compile("[\x1c-\x1f]")
 PIECES = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 JOIN = 100  # words encoded as one text
 _encoders: dict[str, Encoder] = {}
@@ -67,6 +69,11 @@ class Encoder:
         self.tokenizer.model._resize_cache(0)  # ours takes its place
         vocab = self.tokenizer.get_vocab()
         self.closing = any(t.endswith("</w>") for t in vocab)  # else a token that opens with a space starts a word; in these vocabularies none has a space elsewhere
+        self.plain = self.tokenizer
+        if self.closing:  # for what its normalizer (composition, single spaces, lower case) leaves as it is
+            self.plain = Tokenizer.from_file(path)
+            self.plain.model._resize_cache(0)
+            self.plain.normalizer = None
         self.border = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.border[[i for t, i in vocab.items() if (t.endswith("</w>") if self.closing else t.startswith("Ġ"))]] = True
         self.forget()
@@ -78,20 +85,25 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Adds words to the cache."""
-        lone, joint = [], words
-        if self.closing:
-            joint = [w for w in words if PLAIN.fullmatch(w)]
-            lone = [w for w in words if not PLAIN.fullmatch(w)] if len(joint) < len(words) else []
-        several = np.fromiter((1 if not self.closing or w.isalpha() else len(PIECES.findall(w)) for w in joint), np.int64, len(joint))
-        for new, (flat, at) in ((lone, self.many([" " + w for w in lone])), (joint, self.joined([" " + w for w in joint], several))):
-            self.cache.update(zip(new, range(begin := self.known.add(flat, at[1:]), begin + len(new)), strict=True))
-
-    def raw(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.closing:
+            flat, at = self.joined([" " + w for w in words], np.ones(len(words), np.int64))
+            self.cache.update(zip(words, range(begin := self.known.add(flat, at[1:]), begin + len(words)), strict=True))
+            return
+        keys = [w.lower() if PLAIN.fullmatch(w) else w for w in words]
+        new = list(dict.fromkeys(keys).keys() - self.cache.keys())
+        joint = [w for w in new if PLAIN.fullmatch(w)]
+        lone = list(set(new).difference(joint))
+        several = np.fromiter((1 if w.isalpha() else len(PIECES.findall(w)) for w in joint), np.int64, len(joint))
+        for found, (flat, at) in ((lone, self.many(lone)), (joint, self.joined([" " + w for w in joint], several))):
+            self.cache.update(zip(found, range(begin := self.known.add(flat, at[1:]), begin + len(found)), strict=True))
+        self.cache.update(zip(words, map(self.cache.__getitem__, keys), strict=True))
+
+    def raw(self, texts: list[str], plain: bool = False) -> list[list[int]]:
+        return [e.ids for e in (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def many(self, texts: list[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, end to end, and where each begins."""
-        ids = self.raw(texts) if texts else []
+        ids = self.raw(texts, plain) if texts else []
         at = np.cumsum(np.fromiter(chain([0], map(len, ids)), np.int64, len(ids) + 1))
         return np.fromiter(chain.from_iterable(ids), np.uint32, at[-1]), at
 
@@ -100,7 +112,7 @@ class Encoder:
 
         If the borders are not as many as that, the words are encoded one by one.
         """
-        flat, _ = self.many(["".join(words[i : i + JOIN]) for i in range(0, len(words), JOIN)])
+        flat, _ = self.many(["".join(words[i : i + JOIN]) for i in range(0, len(words), JOIN)], True)
         borders = np.flatnonzero(self.border[flat])
         if len(borders) != several.sum():
             return self.many(words)
@@ -112,7 +124,10 @@ class Encoder:
 
     def ids(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """Ids of each whole text (null: empty), then the end id."""
-        parts = [(t or "").split(" ") for t in texts]
+        if self.closing:  # white space of any kind is dropped; the separators of ASCII are none for the library
+            parts = [["", *t.split()] if t and not SEPARATORS.search(t) else [t or ""] for t in texts]
+        else:
+            parts = [(t or "").split(" ") for t in texts]
         if len(self.cache) > CACHE:
             self.forget()
         words = list(chain.from_iterable(p[1:] for p in parts))
@@ -130,7 +145,7 @@ class Encoder:
         word = np.cumsum(np.concatenate([[0], counts]))
         edge = np.concatenate([[0], stop])[word]
         odd = np.concatenate([[0], np.cumsum(number == 0)])[word]
-        whole = [odd[i] < odd[i + 1] or "<|" in p[0] or (len(p) > 1 and (not p[0] or p[0][-1].isspace())) for i, p in enumerate(parts)]
+        whole = [odd[i] < odd[i + 1] or "<|" in p[0] or (not self.closing and len(p) > 1 and (not p[0] or p[0][-1].isspace())) for i, p in enumerate(parts)]
         heads, head_at = self.many(["" if w else p[0] for p, w in zip(parts, whole, strict=True)])
         out, tail = [], np.array([end], np.uint32)
         for i, w in enumerate(whole):
