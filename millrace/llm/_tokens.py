@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
 CACHE = 700_000  # words
 # what the word vocabulary cuts alike alone and after a space: no apostrophes, and letters that keep their class when folded and composed
 PLAIN = re.compile(r"[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+FOLDS = re.compile(r"[\x00-\u012f\u0131-\u024f]+")  # the vocabulary folds these as str.lower does
 SEPARATORS = re.compile("[\x1c-\x1f]")
 PIECES = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 JOIN = 100  # words encoded as one text
@@ -58,6 +59,13 @@ class Ids:
         return number
 
 
+class Cache(dict):
+    """str -> int; -1 for what isn't there."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
 class Encoder:
     """cache: what stands after a space -> its number in known, which has its ids.  Number 0 marks what must be encoded with its text."""
 
@@ -79,7 +87,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.cache: dict[str, int] = {}
+        self.cache = Cache()
         self.known = Ids()
         self.known.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
@@ -89,15 +97,11 @@ class Encoder:
             flat, at = self.joined([" " + w for w in words], np.ones(len(words), np.int64))
             self.cache.update(zip(words, range(begin := self.known.add(flat, at[1:]), begin + len(words)), strict=True))
             return
-        keys = [w.lower() if PLAIN.fullmatch(w) else w for w in words]
-        new = list(dict.fromkeys(keys).keys() - self.cache.keys())
-        joint = [w for w in new if PLAIN.fullmatch(w)]
-        lone = list(set(new).difference(joint))
+        joint = [w for w in words if PLAIN.fullmatch(w) and w.lower() == w]
+        lone = list(set(words).difference(joint)) if len(joint) < len(words) else []
         several = np.fromiter((1 if w.isalpha() else len(PIECES.findall(w)) for w in joint), np.int64, len(joint))
         for found, (flat, at) in ((lone, self.many(lone)), (joint, self.joined([" " + w for w in joint], several))):
             self.cache.update(zip(found, range(begin := self.known.add(flat, at[1:]), begin + len(found)), strict=True))
-        self.cache.update(zip(words, map(self.cache.__getitem__, keys), strict=True))
-
     def raw(self, texts: list[str], plain: bool = False) -> list[list[int]]:
         return [e.ids for e in (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -125,13 +129,14 @@ class Encoder:
     def ids(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """Ids of each whole text (null: empty), then the end id."""
         if self.closing:  # white space of any kind is dropped; the separators of ASCII are none for the library
+            texts = [t.lower() if t and FOLDS.fullmatch(t) and "<|" not in t else t for t in texts]
             parts = [["", *t.split()] if t and not SEPARATORS.search(t) else [t or ""] for t in texts]
         else:
             parts = [(t or "").split(" ") for t in texts]
         if len(self.cache) > CACHE:
             self.forget()
         words = list(chain.from_iterable(p[1:] for p in parts))
-        number = np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words))
+        number = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
         unknown = np.flatnonzero(number < 0).tolist()
         new = dict.fromkeys(map(words.__getitem__, unknown))
         good = [w for w in new if w and len(w.strip()) == len(w) and "<|" not in w]
