@@ -18,7 +18,7 @@ CACHE = 700_000  # words
 # what the word vocabulary cuts alike alone and after a space: no apostrophes, and letters that keep their class when folded and composed
 PLAIN = re.compile(r"[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 FOLDS = re.compile(r"[\x00-\u012f\u0131-\u024f]+")  # the vocabulary folds these as str.lower does
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = re.compile(r"[\x1c-\x1f]")
 PIECES = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 JOIN = 100  # words encoded as one text
 _encoders: dict[str, Encoder] = {}
@@ -102,6 +102,7 @@ class Encoder:
         several = np.fromiter((1 if w.isalpha() else len(PIECES.findall(w)) for w in joint), np.int64, len(joint))
         for found, (flat, at) in ((lone, self.many(lone)), (joint, self.joined([" " + w for w in joint], several))):
             self.cache.update(zip(found, range(begin := self.known.add(flat, at[1:]), begin + len(found)), strict=True))
+
     def raw(self, texts: list[str], plain: bool = False) -> list[list[int]]:
         return [e.ids for e in (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
